@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packed_ids, token_counts
+from . import packed_ids, simhash, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.query,
+    "op10_simhash": simhash.query,
     "op9_packed_ids": packed_ids.query,
 }
 
