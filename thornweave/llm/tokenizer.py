@@ -2,30 +2,32 @@
 
 Both supported pre-tokenizers cut a text at white space before any merge, so the ids of a text are the ids of its
 chunks, one after another. A worker keeps the ids of the chunks that it has met, in a table of bounded size, and
-passes only new ones to the library. Texts that hold one of the vocabulary's special strings, and vocabularies whose
+passes only new ones to the library: runs of ASCII letters, which no normaliser or pre-tokenizer changes any more, to
+its model, others to all of it. Texts that hold one of the vocabulary's special strings, and vocabularies whose
 pre-tokenizer is another, go to the library whole.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
 import re
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space as the library's patterns have it: Python's, but for four control characters.
-_BYTE_CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+#: Chunks: a run of ASCII letters up to white space or a mark (a pre-token of its own, which many texts share), else
+#: whatever has no white space. White space is as the library's patterns have it: Python's, but for four control characters.
+_BYTE_CHUNK = re.compile(r" ?[A-Za-z]+(?=[\s.,!?;:]|\Z)| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+_WORD_CHUNK = re.compile(rb"[a-z]+(?=[\s.,!?;:]|\Z)|\S+")
 
 #: Chunks that a worker keeps at most; beyond, the table starts anew (the ids stay the same, some are computed again).
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
 
 
 def _style(path: str) -> tuple[str, list[str]]:
-    """How texts may be cut: "byte" (a space belongs to what follows), "word" (white space is dropped), "" (not at all)."""
+    """How texts may be cut: "byte" (a space belongs to what follows), "word" (white space and case are dropped), "" (not at all)."""
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
     special = [t["content"] for t in config.get("added_tokens") or []]
@@ -35,7 +37,8 @@ def _style(path: str) -> tuple[str, list[str]]:
     steps = pre.get("pretokenizers") or []
     drops = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
     pattern = (steps[0].get("pattern") or {}).get("Regex", "") if drops else ""
-    if drops and pattern.endswith(r"[^\s\p{L}\p{N}]+") and not any(re.search(r"\s", s) for s in special):
+    lowers = any(n.get("type") == "Lowercase" for n in (config.get("normalizer") or {}).get("normalizers") or [])
+    if lowers and drops and pattern.endswith(r"[^\s\p{L}\p{N}]+") and not any(re.search(r"\s", s) for s in special):
         return "word", special
     return "", special
 
@@ -51,15 +54,18 @@ class Encoder:
         self.library.no_padding()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.style, self.special = _style(path)
+        self.special_bytes = [s.lower().encode() for s in self.special]
         self.known: dict = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, text: str) -> list | None:
         if self.style == "word":
-            return text.encode().split()
-        if self.style == "byte" and not any(s in text for s in self.special):
+            low = text.encode().lower()
+            if not any(s in low for s in self.special_bytes):
+                return _WORD_CHUNK.findall(low)
+        elif self.style == "byte" and not any(s in text for s in self.special):
             return _BYTE_CHUNK.findall(text)
         return None
 
@@ -68,11 +74,17 @@ class Encoder:
         if len(self.known) > KEPT_CHUNKS:
             self.known.clear()
         known = self.known
-        new = list({c for chunks in cut if chunks for c in chunks if c not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            known.update(zip(some, self._ids([c.decode() if isinstance(c, bytes) else c for c in some]), strict=True))
-        return [self._ids([t])[0] if chunks is None else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, cut, strict=True)]
+        new = list(set().union(*(c for c in cut if c)).difference(known))
+        rest, tokenize = [], self.library.model.tokenize
+        for c in new:
+            if (plain := c.decode() if isinstance(c, bytes) else c).isascii() and (letters := plain.removeprefix(" ")).isalpha():
+                known[c] = array.array("I", [t.id for t in tokenize("\u0120" * (len(plain) - len(letters)) + letters)]).tobytes()
+            else:
+                rest.append((c, plain))
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            known.update(zip([c for c, _ in some], self._ids([plain for _, plain in some]), strict=True))
+        return [self._ids([t])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -80,7 +92,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_groups(texts: list, most: int = 2_000_000):
+def in_groups(texts: list, most: int = 1_000_000):
     """Slices of a list of texts of about so many characters, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):
