@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packed_ids, simhash, token_counts
+from . import packed_ids, simhash, substring, token_counts
 
 QUERIES = {
+    "op1_substring": substring.query,
     "op4_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
     "op9_packed_ids": packed_ids.query,
