@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packed_ids, simhash, substring, token_counts
+from . import packed_ids, quality, simhash, substring, token_counts
 
 QUERIES = {
     "op1_substring": substring.query,
     "op4_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
+    "op5_quality": quality.query,
     "op9_packed_ids": packed_ids.query,
 }
 
