@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import packed_ids, quality, simhash, substring, token_counts
+from . import decontaminate, mixing, packed_ids, quality, simhash, substring, token_counts, urls
 
 QUERIES = {
     "op1_substring": substring.query,
     "op4_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
     "op5_quality": quality.query,
+    "op2_decontaminate": decontaminate.query,
+    "op3_urls": urls.query,
+    "op6_mixing": mixing.query,
     "op9_packed_ids": packed_ids.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
