@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, packed_ids, quality, simhash, substring, token_counts, urls
+from . import decontaminate, mixing, packed_ids, pii, quality, secrets, simhash, substring, token_counts, urls
 
 QUERIES = {
     "op1_substring": substring.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_urls": urls.query,
     "op6_mixing": mixing.query,
+    "op7_secrets": secrets.query,
+    "op8_pii": pii.query,
     "op9_packed_ids": packed_ids.query,
 }
 
