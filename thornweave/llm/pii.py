@@ -189,7 +189,7 @@ class Kind:
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.%+-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email, "@"),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, ""),
-    Kind("card", re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"), _card, ""),
+    Kind("card", re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.-])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[\x20-])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{3})?|[0-9]{4}(?P<t>[\x20-])[0-9]{6}(?P=t)[0-9]{5})(?![0-9A-Za-z]|[.-][0-9])"), _card, ""),
     Kind("address", re.compile(r"(?<![0-9A-Za-z])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"), _address, "."),
     Kind("date", re.compile(r"(?<![0-9A-Za-z])(?<![0-9][./-])(?P<a>[0-9]{2}|[0-9]{4})(?P<s>[./-])(?P<b>[0-9]{2})(?P=s)(?P<c>[0-9]{4}|[0-9]{2})(?![0-9]|[./-][0-9])"), _date, ""),
     Kind("social", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), _social, "-"),
