@@ -1,0 +1,85 @@
+"""Each stage of the pipeline against brute force on its own input."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from test_decontaminate import brute as brute_matches
+from test_mixing import brute as brute_mix
+from test_quality import brute as brute_quality
+from test_simhash import brute_one_of_each
+from tokenizers import Tokenizer
+
+import corpus_pipeline as pipeline
+from thornweave.llm.common import materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def rows(df):
+    return sorted([tuple(r) for r in df.collect()], key=str)
+
+
+def quality(docs, sf, spark):
+    out = []
+    for d, t, lang, source, n in docs:
+        found = brute_quality(t)
+        if found[6]:
+            out.append((d, found[7], lang, source, n if found[7] == t else len(found[7])))
+    return out
+
+
+def dedup(docs, sf, spark):
+    stay = {d for d, _ in brute_one_of_each([r[:2] for r in docs], 5, 7, 4, 0.8)}
+    return [r for r in docs if r[0] in stay]
+
+
+def decontaminated(docs, sf, spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {d for d, _ in brute_matches([r[:2] for r in docs], items)}
+    assert held
+    return [r for r in docs if r[0] not in held]
+
+
+def mixed(docs, sf, spark):
+    by = {r[0]: r for r in docs}
+    return [by[d] for (d, *_), n in brute_mix([(r[0], r[1], r[3]) for r in docs], None, None, 0.5, 7).items() for _ in range(n)]
+
+
+BRUTE = {"quality_rules": quality, "near_dedup": dedup, "decontamination": decontaminated, "mixed_sources": mixed}
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in pipeline.STAGES][:-1] == list(BRUTE)
+    for name, stage in pipeline.STAGES[:-1]:
+        found = materialise(stage(spark, docs, sf), name)
+        assert found.columns == COLUMNS
+        assert rows(found) == sorted(BRUTE[name](rows(docs), sf, spark), key=str), name
+        docs = found
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for r in docs.collect():
+        ids = np.array([*library.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
+        want.append((r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
+    got = pipeline.STAGES[-1][1](spark, docs, sf).orderBy("start").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    whole = pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_crc32")
+    assert rows(whole) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_odd_rows(spark, sf, name, stage):
+    """Nulls, repeated rows, columns of any name, empty tables."""
+    prose = "The cat of the house sat on a mat near the door and slept until noon came by again. It was warm there, for once."
+    names = ["judged", "digest", "fp0", "component", "row", "copy", "mix_key", "held_id", "at"]
+    base = [(1, prose, "en", "a", 5), (1, prose, "en", "a", 5), (2, prose + " New.", None, None, None), (None, "A dog and " + prose, "en", "b", 1), (3, None, "en", "a", 0), (4, "", None, "a", None), (5, " \n", "en", None, 2)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in base], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    found = stage(spark, docs, sf)
+    n = found.count()
+    if name != "token_ids":
+        assert found.columns == docs.columns
+    assert {"quality_rules": n == 4, "near_dedup": n < 7, "decontamination": n == 7, "mixed_sources": n > 0, "token_ids": n == 7}[name]
+    assert stage(spark, docs.limit(0), sf).collect() == []

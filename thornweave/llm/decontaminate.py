@@ -146,9 +146,9 @@ def matches(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> D
 
 def clean(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> DataFrame:
     """The rows of docs that hold no item; all columns as they are."""
+    own = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     held = matches(docs, items, rule).select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("held_hash"))
-    return docs.join(held, same, "left_anti")
+    return own.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("text_hash") == F.col("held_hash")), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,16 +179,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard.close()
 
 
-def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_ids: int = 1 << 24) -> list[dict]:
+def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shard_ids: int = 1 << 24, by_id: bool = True) -> list[dict]:
     """Writes docs (doc_id, text) to a shared folder and returns the shards in order: path, start, n_docs, n_ids.
 
-    Documents lie in ascending doc_id order, null first, repeated rows one after another. A null text is an empty one;
-    every document ends with end_id. Only the list of shards comes to the driver: one entry for every shard_ids ids.
+    Documents lie in ascending doc_id order, null first, repeated rows one after another; without by_id they stay in the
+    order and the partitions that docs has. A null text is an empty one; every document ends with end_id. Only the list of shards comes to the driver: one entry for every shard_ids ids.
     """
     from .tokenizer import Encoder
 
     bits = bits_for(max(Encoder(tokenizer_path).vocabulary, end_id + 1))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if by_id:
+        dealt = dealt.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = dealt.mapInArrow(_write(tokenizer_path, end_id, bits, folder, shard_ids), "part int, number int, path string, n_docs long, n_ids long")
     found, start = [], 0
     for r in sorted(shards.collect(), key=lambda r: (r.part, r.number)):
@@ -205,8 +207,9 @@ def read_packed(spark: SparkSession, shards: list[dict]) -> DataFrame:
     return listed.repartition(len(shards), "path").mapInArrow(_read, _SHARD)
 
 
-def token_output(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
-    return read_packed(docs.sparkSession, write_packed(docs, folder, tokenizer_path, end_id))
+def token_output(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by_id: bool = True) -> DataFrame:
+    """What read_packed() finds in the files of write_packed()."""
+    return read_packed(docs.sparkSession, write_packed(docs, folder, tokenizer_path, end_id, by_id=by_id))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

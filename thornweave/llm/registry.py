@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, packed_ids, pii, quality, secrets, simhash, substring, token_counts, urls
+from . import decontaminate, mixing, oracles, packed_ids, pii, quality, secrets, simhash, substring, token_counts, urls
 
 QUERIES = {
     "op1_substring": substring.query,
@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring": oracles.SUBSTRING,
+    "op5_quality": oracles.QUALITY,
     "op6_mixing": mixing.ORACLE,
 }
