@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, remove
 
 
+#: Edges of which a task keeps a spanning forest before the rounds begin.
+TOGETHER = 500_000
+
+
+class Groups:
+    """Disjoint sets, each named by its least member."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def name(self, x: int) -> int:
+        above = self.above
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Joins the sets of two members; False if they are one already."""
+        a, b = self.name(a), self.name(b)
+        if a == b:
+            return False
+        self.above[max(a, b)] = min(a, b)
+        return True
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: each vertex with the least one that it reaches by them."""
+    groups = Groups()
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            groups.join(u, v)
+    stars = [(u, top) for u in groups.above if (top := groups.name(u)) != u]
+    for i in range(0, len(stars), 50_000):
+        us, vs = zip(*stars[i : i + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
 def _to_least(pairs: DataFrame) -> DataFrame:
     """Joins to each (u, v) the least of u and all its v. Hot u are summed up before the shuffle and split in the join."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,18 +69,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every id in edges; component is the least id that can be reached, direction ignored.
 
-    Each round turns the edges into stars around ever smaller ids, so the rounds grow with the logarithm of the longest
-    path, and no round makes more edges than it was given. Every round ends in a table in the shared folder; the
+    First each task turns TOGETHER edges into stars by itself, which leaves an edge a vertex and task at most. Each round then
+    turns the edges into stars around ever smaller ids, so the rounds grow with the logarithm of the longest path, and
+    no round makes more edges than it was given. Every round ends in a table in the shared folder; the
     last but one is deleted. Edges with a null end are ignored; a self-loop makes its id a component.
     """
     spark = edges.sparkSession
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    pairs = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = ends.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     path = fresh_path(spark, "stars")
     pairs.write.parquet(path)
     read = spark.read.schema(pairs.schema).parquet
     loops = read(path).filter("u = v").select(F.col("u").alias("id"))
     first, seen = path, None
+    edges_, path = read(path).filter("u <> v"), fresh_path(spark, "stars")
+    tasks = -(-edges_.count() // TOGETHER) or 1
+    edges_.repartition(tasks).mapInArrow(_forest, "u long, v long").write.parquet(path)
     while True:
         now = read(path).filter("u <> v")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
