@@ -6,8 +6,8 @@ leaves out one bit; two fingerprints with such a segment share the variant that
 equality join on the variants brings candidates together and the full fingerprints verify them.
 
 Fingerprints enter the index once, however many documents have them. A pair is linked only under the first variant that
-it shares, and in a crowded bucket only enough links are kept to hold together what is linked there, so neither
-copies nor dense clusters multiply into pairs.
+it shares, and a task keeps only as many links as hold together what is linked in its buckets, so neither copies nor
+dense clusters multiply into pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import Groups, connected_components
 from .common import materialise, table, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -187,11 +187,13 @@ class _Linker:
 
 def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker = _Linker(radius)
+        linker, groups = _Linker(radius), Groups()
         kept_keys, kept_fps = [], []  # the bucket that is still open
 
         def out(keys, fps):
             a, b = linker.links(keys, fps)
+            new = np.array([groups.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            a, b = a[new], b[new]
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
         for batch in batches:
