@@ -74,18 +74,16 @@ def seeds_of(graph: PropertyGraph, query: PatternQuery, among: DataFrame | None
 def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MAX_PATH_EDGES, seeds: DataFrame | None = None, edges_of: dict[str, DataFrame] | None = None, constraints=((), ()), first: str | None = None) -> DataFrame:
     """All exact bindings: columns v_, k_ and p_.
 
-    seeds: ids (a column id) for the first symbol. edges_of: by a query edge's name, the adjacency (src, dst, key, label, add)
+    seeds: ids (a column id) for the symbol that is bound first. edges_of: by a query edge's name, the adjacency (src, dst, key, label, add)
     to take it from instead of the whole graph's. constraints: symbols and edges of which the first has the smaller id or key.
-    first: the symbol to start from.
+    first: the symbol to start from, by default the first as written.
     """
     candidates, less, keys = _Candidates(graph, query), constraints[0], constraints[1]
     start = first or query.vertices[0]
     own = graph.vertices.select(F.col("id").alias(f"v_{start}"))
     if seeds is not None:
-        own = own.join(seeds.select(F.col("id").alias(f"v_{query.vertices[0]}")).distinct(), f"v_{query.vertices[0]}", "left_semi") if start == query.vertices[0] else own
+        own = own.join(seeds.select(F.col("id").alias(f"v_{start}")).distinct(), f"v_{start}", "left_semi")
     rows, bound, taken, inner = candidates.bound(own, start, set()), {start}, [], []
-    if first and first != query.vertices[0] and seeds is not None:
-        raise ValueError("seeds are for the first symbol as written")
 
     def adjacency(edge, back: bool) -> DataFrame:
         ways = (edges_of or {}).get(edge.name)
