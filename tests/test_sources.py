@@ -95,7 +95,7 @@ def test_generated_graph(spark):
 
 
 def test_config():
-    c = parse_config("[Log]\nprofile = False\nlevel = debug\n[G-Ray]\ninput_json = g.json\nbase_steps = 5\nsteps = 2\nquery = --vertex a b --edge x:a:b\ntime_limit = 1.5\nnum_proc = 3\n")
+    c = parse_config("[Log]\nprofile = False\nlevel = debug\n[Run]\ninput_json = g.json\nbase_steps = 5\nsteps = 2\nquery = --vertex a b --edge x:a:b\ntime_limit = 1.5\nnum_proc = 3\n")
     assert (c.input_json, c.base_steps, c.steps, c.time_limit, c.num_proc, c.level, c.profile) == ("g.json", 5, 2, 1.5, 3, "debug", False) and c.query.startswith("--vertex")
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, remove
+from ..storage import fresh_path, in_arrow, remove
 
 
 #: Edges of which a task keeps a spanning forest before the rounds begin.
@@ -84,7 +84,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     first, seen = path, None
     edges_, path = read(path).filter("u <> v"), fresh_path(spark, "stars")
     tasks = -(-edges_.count() // TOGETHER) or 1
-    edges_.repartition(tasks).mapInArrow(_forest, "u long, v long").write.parquet(path)
+    edges_.repartition(tasks).transform(in_arrow(_forest, "u long, v long")).write.parquet(path)
     while True:
         now = read(path).filter("u <> v")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -19,10 +19,12 @@ class EngineConfig:
 
 
 def parse_config(text: str) -> EngineConfig:
-    """[Log] profile, level; [G-Ray] input_json, query, base_steps, steps, time_limit, num_proc (partitions here)."""
+    """[Log] profile, level; and a section of any name with input_json, query, base_steps, steps, time_limit, num_proc (partitions here)."""
     ini = configparser.ConfigParser(interpolation=None)
     ini.read_string(text)
-    run = ini["G-Ray"]
+    run = next((ini[s] for s in ini.sections() if "input_json" in ini[s]), None)
+    if run is None:
+        raise ValueError("no section of the configuration has input_json")
     return EngineConfig(
         run["input_json"],
         run["query"],

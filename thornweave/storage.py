@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,21 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of fresh_path() that nothing will read again."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it. A cluster without that path gets it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH", "")]))
+
+
+def in_arrow(f: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: mapInArrow() with this package at hand."""
+
+    def run(df: DataFrame) -> DataFrame:
+        on_workers(df.sparkSession)
+        return df.mapInArrow(f, schema)
+
+    return run
