@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, in_arrow, table
 from .tokenizer import encoder, in_groups
 
 MAGIC = b"TWIDS\x00\x01\x00"
@@ -191,7 +191,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if by_id:
         dealt = dealt.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = dealt.mapInArrow(_write(tokenizer_path, end_id, bits, folder, shard_ids), "part int, number int, path string, n_docs long, n_ids long")
+    shards = dealt.transform(in_arrow(_write(tokenizer_path, end_id, bits, folder, shard_ids), "part int, number int, path string, n_docs long, n_ids long"))
     found, start = [], 0
     for r in sorted(shards.collect(), key=lambda r: (r.part, r.number)):
         found.append({"path": r.path, "start": start, "n_docs": r.n_docs, "n_ids": r.n_ids})
@@ -204,7 +204,7 @@ def read_packed(spark: SparkSession, shards: list[dict]) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], _SHARD)
     listed = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long")
-    return listed.repartition(len(shards), "path").mapInArrow(_read, _SHARD)
+    return listed.repartition(len(shards), "path").transform(in_arrow(_read, _SHARD))
 
 
 def token_output(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by_id: bool = True) -> DataFrame:

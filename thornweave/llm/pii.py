@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 ROUNDS = 8
 
@@ -258,7 +258,7 @@ def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     key: kept outside the data; whoever has it can reverse the pseudonyms.
     """
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in NAMES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rewrite(key), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow(_rewrite(key), schema))
 
 
 #: A key for tests and for the query, which have nothing to hide.

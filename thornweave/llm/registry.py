@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": oracles.SUBSTRING,
+    "op2_decontaminate": oracles.DECONTAMINATE,
     "op5_quality": oracles.QUALITY,
     "op6_mixing": mixing.ORACLE,
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -143,7 +143,7 @@ def secrets(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     scanned whole, by itself, in time that grows with its length.
     """
     schema = "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(rules), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow(_scan(rules), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

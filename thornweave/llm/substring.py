@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_blocks
+from .common import in_arrow, materialise, table, word_blocks
 from .tokenizer import in_groups
 
 #: Odd factors of two independent polynomial hashes.
@@ -308,20 +308,20 @@ def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True) -> Da
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("d", F.coalesce("doc_id", least))
     shared = not own.groupBy("d").count().filter("count > 1").isEmpty()
     own = own.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))) if shared else F.lit(0).cast("long"))
-    packed = own.select("doc_id", "d", "tag", "text").mapInArrow(_pack, "doc_id long, d long, tag long, packed binary")
+    packed = own.select("doc_id", "d", "tag", "text").transform(in_arrow(_pack, "doc_id long, d long, tag long, packed binary"))
 
     def met(rows: DataFrame, extend: bool) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "seg", "d", "pos").mapInArrow(_resolve(extend), "d long, pos long, tag long")
+        return rows.repartition("key").sortWithinPartitions("key", "seg", "d", "pos").transform(in_arrow(_resolve(extend), "d long, pos long, tag long"))
 
-    one = materialise(met(own.select("d", "tag", "text").mapInArrow(_level_one(window), _ROW), True), "repeats")
+    one = materialise(met(own.select("d", "tag", "text").transform(in_arrow(_level_one(window), _ROW)), True), "repeats")
     extended = one.filter(f"pos & 15 = {_EXTEND}").groupBy("d", "tag").agg(F.collect_list("pos").alias("places"))
     unique = packed.select("d", "tag", "packed")
     if shared:
         unique = unique.dropDuplicates(["d", "tag"])
-    two = met(unique.join(extended, ["d", "tag"]).select("d", "tag", "packed", "places").mapInArrow(_level_two(window), _ROW), False)
+    two = met(unique.join(extended, ["d", "tag"]).select("d", "tag", "packed", "places").transform(in_arrow(_level_two(window), _ROW)), False)
     spans = one.filter(f"pos & 15 = {_SPAN}").union(two).groupBy("d", "tag").agg(F.collect_list("pos").alias("places"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return packed.join(spans, ["d", "tag"], "left").select("doc_id", "packed", "places").mapInArrow(_clean(window, texts), schema)
+    return packed.join(spans, ["d", "tag"], "left").select("doc_id", "packed", "places").transform(in_arrow(_clean(window, texts), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, in_arrow, table
 from .tokenizer import encoder, in_groups
 
 CACHE = "content binary, tokenizer binary, n_tokens long"
@@ -64,7 +64,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     texts = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
     stored = read_cache(spark, cache, version)
     misses = texts.select("content", "text").join(stored, "content", "left_anti").dropDuplicates(["content"])
-    counted = misses.mapInArrow(_count(tokenizer_path), "content binary, n_tokens long")
+    counted = misses.transform(in_arrow(_count(tokenizer_path), "content binary, n_tokens long"))
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return (
         texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
