@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import Groups, connected_components
-from .common import materialise, table, word_blocks
+from .common import in_arrow, materialise, table, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -87,7 +88,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) of every row of docs; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow(_fingerprints(shingle), "doc_id long, fp long"))
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -220,7 +221,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     fps: a column fp of distinct fingerprints.
     """
     indexed = fps.select("fp", F.explode(_variants(F.col("fp"), radius)).alias("key"))
-    return indexed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius), "src long, dst long").distinct()
+    return indexed.select("key", "fp").repartition("key").sortWithinPartitions("key").transform(in_arrow(_link(radius), "src long, dst long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -273,10 +274,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts cross the shuffle compressed document by document."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("digest"), texts], names=["d", "digest", "packed"])
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sets = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
+            sets = pa.array([shingle_set(unpack(t.as_py()).decode(), shingle).view(np.int64) for t in batch.column("packed")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("place"), batch.column("digest"), sets], names=["component", "place", "digest", "shingles"])
 
     return run
@@ -333,10 +343,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 7, tables: int
     text, the one with the smallest doc_id stays, one row of it. Columns other than doc_id and text are passed through,
     whatever their names. An empty table gives an empty result.
     """
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    none = F.lit(-(1 << 63))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("digest", F.md5("text")).withColumn("d", F.coalesce("doc_id", none))
     prints = [f"fp{t}" for t in range(tables)]
     schema = "doc_id long, digest string, " + ", ".join(f"{p} long" for p in prints)
-    each = own.select("doc_id", "digest", "text").mapInArrow(_texts(shingle, tables), schema)
+    each = own.select("doc_id", "digest", "text").transform(in_arrow(_texts(shingle, tables), schema))
     texts = each.groupBy("digest", *prints).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest"))
     texts = materialise(texts, "texts")
     edges = None
@@ -349,15 +361,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 7, tables: int
         edges = found if edges is None else edges.union(found)
     parts = connected_components(edges).select(F.col("id").alias("node"), "component")
     place = F.coalesce("least", F.lit((1 << 63) - 1))
-    members = texts.join(parts, "node").select("component", "digest", F.col("least").alias("at"), place.alias("place"))
-    carried = own.select("doc_id", "digest", "text").join(members.withColumnRenamed("digest", "named"), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("named")))
-    once = carried.select("component", "place", "digest", "text").dropDuplicates(["place", "digest"])
-    sets = materialise(once.mapInArrow(_sets(shingle), "component long, place long, digest string, shingles array<long>"), "shingles")
+    members = texts.join(parts, "node").select("component", "digest", F.coalesce("least", none).alias("d"), place.alias("place"))
+    carried = own.select("d", "digest", "text").transform(in_arrow(_packed, "d long, digest string, packed binary")).join(members, ["d", "digest"])
+    once = carried.dropDuplicates(["d", "digest"]).select("component", "place", "digest", "packed")
+    sets = materialise(once.transform(in_arrow(_sets(shingle), "component long, place long, digest string, shingles array<long>")), "shingles")
     left, gone = _thinned(sets, similarity)
-    led = left.repartition("component").sortWithinPartitions("component", "place", "digest").mapInArrow(_led(similarity), "digest string")
+    led = left.repartition("component").sortWithinPartitions("component", "place", "digest").transform(in_arrow(_led(similarity), "digest string"))
     gone = led if gone is None else gone.union(led)
-    stay = texts.select("digest", "least").join(gone, "digest", "left_anti").select(F.col("digest").alias("named"), F.col("least").alias("at"))
-    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("named"))).dropDuplicates(["at", "named"])
+    stay = texts.join(gone, "digest", "left_anti").select(F.coalesce("least", none).alias("d"), "digest")
+    kept = own.select("d", "digest", "row").join(stay, ["d", "digest"]).dropDuplicates(["d", "digest"])
     return kept.select("row.*")
 
 
