@@ -157,7 +157,7 @@ def match_path_edge(spark, sf):
     return rows.select("v_a", "v_b", (F.size("p_p") + 1).cast("long").alias("hops"))
 
 
-@_query("SELECT seed, v_b FROM (SELECT src AS seed, dst AS v_b, row_number() OVER (PARTITION BY src ORDER BY concat_ws(',', least(src, dst)::VARCHAR, greatest(src, dst)::VARCHAR)) AS n FROM adj) WHERE n = 1")
+@_query("SELECT seed, v_b FROM (SELECT src AS seed, dst AS v_b, row_number() OVER (PARTITION BY src ORDER BY concat(least(src, dst), ',', greatest(src, dst), '|')) AS n FROM adj) WHERE n = 1")
 def match_per_seed(spark, sf):
     graph = tables.purchase_succession(spark, sf)
     return match.find(graph, parse("--vertex a b --edge x:a:b"), per_seed=True).select("seed", "v_b")
