@@ -2,8 +2,8 @@
 
 Both supported pre-tokenizers cut a text at white space before any merge, so the ids of a text are the ids of its
 chunks, one after another. A worker keeps the ids of the chunks that it has met, in a table of bounded size, and
-passes only new ones to the library: runs of ASCII letters, which no normaliser or pre-tokenizer changes any more, to
-its model, others to all of it. Texts that hold one of the vocabulary's special strings, and vocabularies whose
+passes only new ones to the library: runs of Latin letters, which no pre-tokenizer cuts any more, to its normaliser and
+model, others to all of it. Texts that hold one of the vocabulary's special strings, and vocabularies whose
 pre-tokenizer is another, go to the library whole.
 """
 
@@ -21,6 +21,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: whatever has no white space. White space is as the library's patterns have it: Python's, but for four control characters.
 _BYTE_CHUNK = re.compile(r" ?[A-Za-z]+(?=[\s.,!?;:]|\Z)| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 _WORD_CHUNK = re.compile(rb"[a-z]+(?=[\s.,!?;:]|\Z)|\S+")
+#: The byte-level alphabet: printable characters of Latin-1 stand for themselves, other bytes for those from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 #: Chunks that a worker keeps at most; beyond, the table starts anew (the ids stay the same, some are computed again).
 KEPT_CHUNKS = 1_000_000
@@ -43,6 +46,34 @@ def _style(path: str) -> tuple[str, list[str]]:
     return "", special
 
 
+class _Known(dict):
+    """Ids of chunks, as little-endian unsigned 32-bit integers; one that is missing is encoded."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library, self.tokenize, self.normalizer = library, library.model.tokenize, library.normalizer
+
+    def _spelled(self, letters: str) -> str | None:
+        """Latin letters as the model has them, normalised and byte by byte; None if they may be cut before."""
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return None
+        if letters.isascii():
+            return letters  # lower case already where case is dropped
+        if self.normalizer is not None and not (letters := self.normalizer.normalize_str(letters)).isalpha():
+            return None
+        return letters.encode().decode("latin-1").translate(_ALPHABET)
+
+    def __missing__(self, chunk) -> bytes:
+        text = chunk.decode() if isinstance(chunk, bytes) else chunk
+        letters = text.removeprefix(" ")
+        if (spelled := self._spelled(letters)) is not None:
+            ids = [t.id for t in self.tokenize("\u0120" * (len(text) - len(letters)) + spelled)]
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        found = self[chunk] = array.array("I", ids).tobytes()
+        return found
+
+
 class Encoder:
     """encode(texts): for each text, its ids as little-endian unsigned 32-bit integers; null counts as empty."""
 
@@ -55,36 +86,28 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.style, self.special = _style(path)
         self.special_bytes = [s.lower().encode() for s in self.special]
-        self.known: dict = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known = _Known(self.library)
 
-    def _chunks(self, text: str) -> list | None:
+    def _chunks(self, text: str) -> list:
+        """The pieces of a text that are encoded by themselves: all of it where it can't be cut."""
         if self.style == "word":
-            low = text.encode().lower()
+            low = text.encode().lower()  # A-Z alone
             if not any(s in low for s in self.special_bytes):
                 return _WORD_CHUNK.findall(low)
         elif self.style == "byte" and not any(s in text for s in self.special):
             return _BYTE_CHUNK.findall(text)
-        return None
+        return []
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._chunks(t or "") for t in texts]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*(c for c in cut if c)).difference(known))
-        rest, tokenize = [], self.library.model.tokenize
-        for c in new:
-            if (plain := c.decode() if isinstance(c, bytes) else c).isascii() and (letters := plain.removeprefix(" ")).isalpha():
-                known[c] = array.array("I", [t.id for t in tokenize("\u0120" * (len(plain) - len(letters)) + letters)]).tobytes()
+        known, out = self.known, []
+        for text in texts:
+            if len(known) > KEPT_CHUNKS:
+                known.clear()
+            if chunks := self._chunks(text or ""):
+                out.append(b"".join(map(known.__getitem__, chunks)))
             else:
-                rest.append((c, plain))
-        for i in range(0, len(rest), 1024):
-            some = rest[i : i + 1024]
-            known.update(zip([c for c, _ in some], self._ids([plain for _, plain in some]), strict=True))
-        return [self._ids([t])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, cut, strict=True)]
+                out.append(array.array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes())
+        return out
 
 
 @functools.lru_cache(maxsize=4)
