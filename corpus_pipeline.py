@@ -16,7 +16,7 @@ from thornweave.llm.common import fresh_path, materialise, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that failed; n_chars is counted again."""
     names = docs.columns
-    judged = quality.judged(docs.select(F.struct("*").alias("row"), "text")).filter("judged.kept")
+    judged = quality.passing(docs.select(F.struct("*").alias("row"), "text"))
     text = F.col("judged.cleaned")
     made = {"text": text, "n_chars": F.when(F.col("row.text").eqNullSafe(text), F.col("row.n_chars")).otherwise(F.char_length(text).cast("long")) if "n_chars" in names else None}
     return judged.select(*[(F.col("row")[c] if made.get(c) is None else made[c]).alias(c) for c in names])

@@ -149,13 +149,7 @@ def line_fails(line: Column, rules: Rules = Rules(), marks: Column | None = None
     return line.rlike(INK) & fails
 
 
-def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs with a column `judged`: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and cleaned.
-
-    cleaned is the text without the lines that fail; lines without words stay where they are. A null text counts as
-    empty (no words, so base_failed) and its cleaned text is null. Everything is judged row by row: repeated rows get
-    the same result, other columns are passed through (one named `judged` is replaced), an empty table stays empty.
-    """
+def _judgement(rules: Rules) -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
     first = F.struct(
         words(text).alias("words"),
@@ -183,7 +177,24 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         base = [x[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         return F.struct(*base, failed.alias("base_failed"), (~failed & enough).alias("kept"), F.coalesce(x["shorter"], F.col("text")).alias("cleaned"))
 
-    return docs.withColumn("judged", _let(_let(first, counted), verdict))
+    return _let(_let(first, counted), verdict)
+
+
+def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """docs with a column `judged`: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and cleaned.
+
+    cleaned is the text without the lines that fail; lines without words stay where they are. A null text counts as
+    empty (no words, so base_failed) and its cleaned text is null. Everything is judged row by row: repeated rows get
+    the same result, other columns are passed through (one named `judged` is replaced), an empty table stays empty.
+    """
+    return docs.withColumn("judged", _judgement(rules))
+
+
+def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of judged() that are kept. An outer generator makes them: a filter alone, or one that is inferred from an
+    inner generator, would have every row judged twice."""
+    kept = F.filter(F.array(_judgement(rules)), lambda j: j["kept"])
+    return docs.select(*[c for c in docs.columns if c != "judged"], F.explode_outer(kept).alias("judged")).filter("judged IS NOT NULL")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
