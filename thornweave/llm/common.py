@@ -24,6 +24,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def in_slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Batches cut small: what is made from one, where that is as large as the texts, leaves before the next is begun."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 

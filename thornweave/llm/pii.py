@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, table
+from .common import in_arrow, in_slices, table
 
 ROUNDS = 8
 
@@ -237,7 +237,7 @@ class Pseudonyms:
 def _rewrite(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, counts = [], []
             for t in batch.column("text"):
                 new, n = (None, Counter()) if (old := t.as_py()) is None else own.rewrite(old)
