@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import Groups, connected_components
-from .common import in_arrow, materialise, table, word_blocks
+from .common import in_arrow, in_slices, materialise, table, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -277,7 +277,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts cross the shuffle compressed document by document."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in in_slices(batches):
         texts = pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("digest"), texts], names=["d", "digest", "packed"])
 
@@ -285,7 +285,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = pa.array([shingle_set(unpack(t.as_py()).decode(), shingle).view(np.int64) for t in batch.column("packed")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("place"), batch.column("digest"), sets], names=["component", "place", "digest", "shingles"])
 

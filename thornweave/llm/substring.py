@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialise, table, word_blocks
+from .common import in_arrow, in_slices, materialise, table, word_blocks
 from .tokenizer import in_groups
 
 #: Odd factors of two independent polynomial hashes.
@@ -245,7 +245,7 @@ def _resolve(extend: bool):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts cross the shuffle compressed document by document."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in in_slices(batches):
         packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d"), batch.column("tag"), packed], names=["doc_id", "d", "tag", "packed"])
 
