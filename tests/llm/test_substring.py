@@ -73,6 +73,26 @@ def test_crowded_keys(spark, monkeypatch):
     assert run(spark, rows, 10) == brute(rows, 10)
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 3])
+def test_crowded_keys_lose_no_repeat(spark, monkeypatch, partitions):
+    """A passage in more contexts than a task lets meet at level one, alone in one task or met again in another."""
+    monkeypatch.setattr(substring, "CROWDED", 2)
+    rng = random.Random(7)
+    rows = []
+    for c in range(40):
+        common = [f"c{c}_{i}" for i in range(12)]
+        alike = None
+        for i in range(6):
+            around = [[f"{x}{rng.randrange(10**6)}" for _ in range(15)] for x in "ab"]
+            alike = alike or around
+            rows.append((i * 100 + c, " ".join(around[0] + common + around[1])))
+        rows.append((600 + c, " ".join(alike[0] + common + alike[1])))
+    rows.sort(key=lambda r: (r[0] * 7919) % 701)  # equal texts in different tasks
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+    got = sorted([tuple(r) for r in substring.without_repeats(docs, 10).collect()], key=str)
+    assert got == brute(rows, 10)
+
+
 @pytest.mark.parametrize("extend", [True, False])
 def test_stream_over_batches(extend):
     """Batches of any size give what one batch gives."""

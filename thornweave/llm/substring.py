@@ -14,8 +14,9 @@ anchor. All long windows with the same anchor form a segment. Anchors meet by ha
   and all but the earliest of each are removed.
 
 Each task first settles what it can among its own documents, so that what a group of copies or a common line sends to
-one key grows with the number of tasks, not of documents; and keys that are crowded within a task go on to level
-two without meeting at level one. Rows of one key are then taken as a sorted stream, never held together.
+one key grows with the number of tasks, not of documents; and of keys that are crowded within a task, only two segments meet at
+level one (so that whoever else has the key is extended too), the others go on to level two at once. Rows of one key
+are then taken as a sorted stream, never held together.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .tokenizer import in_groups
 #: Odd factors of two independent polynomial hashes.
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPAN, _EXTEND = 1, 2
-#: Different segments of one anchor within a task beyond which they go to level two without meeting at level one.
+#: Different segments of one anchor within a task beyond which all but two go to level two without meeting at level one.
 CROWDED = 64
 #: Characters of text whose anchors a task settles at a time.
 TOGETHER = 16_000_000
@@ -131,8 +132,10 @@ def _settled(key, seg, d, pos, tag, crowded: int | None) -> pa.RecordBatch:
     kind = np.where(same, 0, _SPAN)
     if crowded:
         runs = np.flatnonzero(new_key)
-        many = np.repeat(np.add.reduceat(new_seg, runs) > crowded, np.diff([*runs, len(key)])) if len(runs) else np.zeros(0, bool)
-        kind = np.where(many & same & ~new_key, _EXTEND, kind)
+        if len(runs):
+            size, nth = np.diff([*runs, len(key)]), np.cumsum(new_seg)  # nth: of the segments of all keys, from 1
+            many = np.repeat(np.add.reduceat(new_seg.astype(np.int64), runs) > crowded, size)
+            kind = np.where(many & same & (nth - np.repeat(nth[runs], size) >= 2), _EXTEND, kind)
     pos = pos | kind
     key = np.where(kind > 0, _spread(d, pos), key)
     keep = ~again
