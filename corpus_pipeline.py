@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs, shingle=5, radius=7, tables=4, similarity=0.8)
+    return simhash.one_of_each(docs, shingle=5, radius=9, tables=6, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

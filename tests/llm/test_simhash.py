@@ -199,3 +199,29 @@ def test_recall_of_similar_texts(spark):
         digests = simhash._several(4)
         missed += not any((x ^ y).bit_count() <= 7 for x, y in zip(simhash._votes(a, 5, digests), simhash._votes(b, 5, digests), strict=True))
     assert missed <= 6
+
+
+def test_recall_of_the_pipeline(spark):
+    """Of texts with a true similarity of 0.80 to 0.85 to another, near_dedup leaves nearly no second one."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    while len(rows) < 300:
+        w = [f"v{rng.randrange(20_000)}" for _ in range(400)]
+        v = list(w)
+        for i in rng.sample(range(400), rng.choice([7, 8, 9])):
+            v[i] = f"other{rng.randrange(1000)}"
+        a, b = set(brute_shingles(" ".join(w), 5)), set(brute_shingles(" ".join(v), 5))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    missed = sum(i in stay and i + 1 in stay for i in range(0, 300, 2))
+    print("missed", missed)
+    assert stay >= set(range(0, 300, 2)) and missed <= 6
+
+
+def test_links_at_the_radius_of_the_pipeline(spark):
+    test_one_segment_differs_by_one_bit_at_most(9)
+    test_links_hold_together_what_is_linked(spark, 9)
