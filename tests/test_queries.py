@@ -34,3 +34,16 @@ def test_query(spark, sf, name):
 def test_query_without_sql(spark, sf, name):
     frame = queries.QUERIES[name](spark, sf)
     assert frame.columns and frame.count() >= 0
+
+
+def test_approximate_matches_over_the_whole_graph(spark, sf):
+    """Exact ones among them are those of the greedy mode over all edges, beyond the seventh with (src * 5 + dst * 3) % 7 = 0."""
+    from thornweave.operators import match
+    from thornweave.plans.query import parse
+    from thornweave.sources import tables
+
+    found = {tuple(r) for r in queries.QUERIES["approximate_matches"](spark, sf).filter("exact").select("v_a", "v_b", "v_c").collect()}
+    query = parse("--vertex a b c --edge x:a:b y:b:c --directed --vertexlabel a:ASIA b:EUROPE")
+    whole = match.find(tables.nation_trade(spark, sf), query, "greedy").select("v_a", "v_b", "v_c")
+    assert found == {tuple(r) for r in whole.collect()}
+    assert any((a * 5 + b * 3) % 7 or (b * 5 + c * 3) % 7 for a, b, c in found)

@@ -327,25 +327,49 @@ def _thin_trade(spark, sf):
     return replace(graph, edges=graph.edges.filter("(src * 5 + dst * 3) % 7 = 0"))
 
 
-@_query(_walk_sql(7) + """, two AS (SELECT a.src, b.dst, a.dst AS via, row_number() OVER (PARTITION BY a.src, b.dst ORDER BY round(p.p, 9) DESC, a.dst) AS n
+_BEST_PATHS = _walk_sql(7) + """, two AS (SELECT a.src, b.dst, a.dst AS via, row_number() OVER (PARTITION BY a.src, b.dst ORDER BY round(p.p, 9) DESC, a.dst) AS n
 FROM e a JOIN e b ON b.src = a.dst AND b.dst <> a.src JOIN p7 p ON p.src = a.src AND p.dst = a.dst)
 SELECT src, dst, NULL::BIGINT AS via, 1::BIGINT AS hops FROM e
-UNION ALL SELECT src, dst, via, 2 FROM two WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = two.src AND e.dst = two.dst)""", _THIN)
-def best_paths(spark, sf):
-    graph = _thin_trade(spark, sf)
+UNION ALL SELECT src, dst, via, 2 FROM two WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = two.src AND e.dst = two.dst)"""
+
+
+def _best_paths(graph):
     p = materialise(walk.random_walk(graph, tolerance=0).withColumn("p", F.round("p", 9)), "walk")
     return paths.best_paths(graph, p).withColumn("hops", F.col("hops").cast("long"))
 
 
-@_query(_walk_sql(7) + """, good AS (SELECT p.src AS v_a, p.dst AS v_b, ln(p.p + 1e-10) AS g FROM p7 p JOIN v ON v.id = p.dst WHERE p.src <> p.dst AND v.label = 'EUROPE')
-SELECT v_a, v_b FROM good QUALIFY g >= max(g) OVER (PARTITION BY v_a) - 1e-5""", _THIN)
-def neighbour_expansion(spark, sf):
-    graph = _thin_trade(spark, sf)
+@_query(_BEST_PATHS, _THIN)
+def best_paths(spark, sf):
+    """Over a seventh of the graph, as its SQL has it; best_paths_whole has all of it."""
+    return _best_paths(_thin_trade(spark, sf))
+
+
+@_query(_BEST_PATHS, _NATIONS)
+def best_paths_whole(spark, sf):
+    return _best_paths(tables.nation_trade(spark, sf))
+
+
+_EXPANSION = _walk_sql(7) + """, good AS (SELECT p.src AS v_a, p.dst AS v_b, ln(p.p + 1e-10) AS g FROM p7 p JOIN v ON v.id = p.dst WHERE p.src <> p.dst AND v.label = 'EUROPE')
+SELECT v_a, v_b FROM good QUALIFY g >= max(g) OVER (PARTITION BY v_a) - 1e-5"""
+
+
+def _expansion(graph):
     p = materialise(walk.random_walk(graph, tolerance=0), "walk")
     rows = graph.vertices.select(F.col("id").alias("v_a"))
     return match.expand(rows, "v_a", "v_b", p, graph.filter_vertices("EUROPE"), ["v_a"])
 
 
+@_query(_EXPANSION, _THIN)
+def neighbour_expansion(spark, sf):
+    """Over a seventh of the graph, as its SQL has it; neighbour_expansion_whole has all of it."""
+    return _expansion(_thin_trade(spark, sf))
+
+
+@_query(_EXPANSION, _NATIONS)
+def neighbour_expansion_whole(spark, sf):
+    return _expansion(tables.nation_trade(spark, sf))
+
+
 @_query("SELECT id, CASE WHEN first THEN 0 ELSE 1 END::BIGINT AS later FROM (SELECT id, id % 3 = 0 AS first FROM v)")
 def known_first(spark, sf):
     graph = tables.purchase_succession(spark, sf)
@@ -370,7 +394,7 @@ def greedy_triangles(spark, sf):
 
 @_query()
 def approximate_matches(spark, sf):
-    graph = _thin_trade(spark, sf)
+    graph = tables.nation_trade(spark, sf)
     return match.find(graph, parse("--vertex a b c --edge x:a:b y:b:c --directed --vertexlabel a:ASIA b:EUROPE"), "approx").select("v_a", "v_b", "v_c", "exact", "canon_key")
 
 
