@@ -211,15 +211,23 @@ def triangle_count(spark, sf):
     return metrics.triangle_count(tables.purchase_succession(spark, sf))
 
 
-@_query(", reach(id, component) AS (SELECT id, id FROM v UNION SELECT adj.dst, reach.component FROM reach JOIN adj ON adj.src = reach.id) SELECT id, min(component) AS component FROM reach GROUP BY id", _USERS.replace("AS (SELECT src, dst, add, mult FROM e UNION", "AS (SELECT src, dst, add, mult FROM e WHERE add % 7 = 0 UNION").replace("SELECT dst, src, add, mult FROM e)", "SELECT dst, src, add, mult FROM e WHERE add % 7 = 0)"), recursive=True)
+_REACH = ", reach(id, component) AS (SELECT id, id FROM v UNION SELECT adj.dst, reach.component FROM reach JOIN adj ON adj.src = reach.id) SELECT id, min(component) AS component FROM reach GROUP BY id"
+
+
+@_query(_REACH, _USERS.replace("AS (SELECT src, dst, add, mult FROM e UNION", "AS (SELECT src, dst, add, mult FROM e WHERE add % 7 = 0 UNION").replace("SELECT dst, src, add, mult FROM e)", "SELECT dst, src, add, mult FROM e WHERE add % 7 = 0)"), recursive=True)
 def components(spark, sf):
-    """Over every seventh day's edges, so that there are several."""
+    """Over every seventh day's edges, as its SQL has it; components_whole has all of them."""
     graph = tables.purchase_succession(spark, sf)
     from dataclasses import replace
 
     return metrics.components(replace(graph, edges=graph.edges.filter("add % 7 = 0")))
 
 
+@_query(_REACH, recursive=True)
+def components_whole(spark, sf):
+    return metrics.components(tables.purchase_succession(spark, sf))
+
+
 @_query("SELECT 1.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM v) AS density")
 def density(spark, sf):
     return metrics.density(tables.purchase_succession(spark, sf))
