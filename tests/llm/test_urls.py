@@ -81,6 +81,24 @@ def test_mined_rules(spark):
     assert sum(v == "block" for v, _ in got.values()) > 100
 
 
+def test_rules_of_four_tokens(spark):
+    """Bad only where four tokens stand together; and a rule that holds a much smaller one goes."""
+    rows, labels = [], []
+    for held in range(16):
+        for k in range(40):
+            parts = "/".join(f"t{'abcd'[b]}" for b in range(4) if held >> b & 1)
+            rows.append((len(rows), f"http://h{held}{'xyz'[k % 3]}/{parts}"))
+            labels.append((len(labels), 0 if held == 15 else 1, None))
+    for k in range(40):
+        rows.append((len(rows), "http://host/one/two/three/four"))
+        labels.append((len(labels), 0, None))
+    pages, marks = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {frozenset(r.tokens) for r in urls.mined_rules(pages, marks, urls.Mining(support=0.055)).collect()}
+    assert found == {frozenset(f"path:t{x}" for x in "abcd"), *(frozenset([x]) for x in ("host:host", "path:one", "path:two", "path:three", "path:four"))}
+    got = {r.page_id: r.verdict for r in urls.judged(pages, marks, mining=urls.Mining(support=0.055)).collect()}
+    assert [d for d, v in got.items() if v == "block"] and {d for d, v in got.items() if v == "block"} == {d for d, q, _ in labels if q == 0}
+
+
 def test_query(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = urls.query(spark, sf).collect()

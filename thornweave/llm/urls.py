@@ -29,8 +29,8 @@ class Mining:
     least_pages: int = 20
     #: Share of bad ones among the labelled pages that hold a rule's tokens.
     confidence: float = 0.6
-    #: Tokens of a rule; longer sets are special cases of shorter ones that passed or failed already.
-    tokens: int = 3
+    #: Tokens of a rule at most; None for any number. A longer set can pass where each set within it failed.
+    tokens: int | None = None
     #: Rules up to so many are broadcast; more are joined by a shuffle.
     few_rules: int = 20_000
 
@@ -85,12 +85,15 @@ def mined_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining())
     if n < mining.least_pages:
         return empty
     model = FPGrowth(itemsCol="items", minSupport=max(mining.support, mining.least_pages / n), minConfidence=mining.confidence).fit(baskets)
-    found = model.associationRules.filter(F.element_at("consequent", 1) == _BAD).filter(F.size("antecedent") <= mining.tokens)
-    rules = found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    smaller = F.filter(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda t, k: k != i)), lambda x: F.size(x) > 0)
-    single = F.when(F.size("tokens") > 2, F.transform("tokens", lambda t: F.array(t))).otherwise(F.array().cast("array<array<string>>"))
-    parts = rules.select("tokens", F.explode(F.concat(smaller, single)).alias("part"))
-    covered = parts.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
+    found = model.associationRules.filter(F.element_at("consequent", 1) == _BAD)
+    if mining.tokens is not None:
+        found = found.filter(F.size("antecedent") <= mining.tokens)
+    rules = materialise(found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "mined-rules")
+    # A smaller rule meets a larger one that holds it under its own token that the fewest rules have.
+    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    rare = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token")).withColumnRenamed("tokens", "part")
+    met = each.join(rare, "token").filter(F.size("part") < F.size("tokens"))
+    covered = met.filter(F.size(F.array_intersect("part", "tokens")) == F.size("part")).select("tokens").distinct()
     return rules.join(covered, "tokens", "left_anti")
 
 
