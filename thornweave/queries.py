@@ -152,11 +152,22 @@ def match_orderby(spark, sf):
 @_query("""SELECT x.src AS v_a, x.dst AS v_b, 1::BIGINT AS hops FROM o x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst WHERE a.label = 'cyan' AND b.label = 'white'
 UNION ALL SELECT x.src, y.dst, 2 FROM o x JOIN o y ON x.dst = y.src AND y.dst <> x.src JOIN v a ON a.id = x.src JOIN v b ON b.id = y.dst WHERE a.label = 'cyan' AND b.label = 'white'""", _USERS + ", o AS (SELECT src, dst FROM adj WHERE mult > 1)\n")
 def match_path_edge(spark, sf):
+    """Paths of up to two edges, as its SQL has it; match_path_edge_whole has three too."""
     query = parse("--vertex a b --path p:a:b --vertexlabel a:cyan b:white --edgelabel p:often")
     rows = match.bindings(tables.purchase_succession(spark, sf), query, max_path_edges=2)
     return rows.select("v_a", "v_b", (F.size("p_p") + 1).cast("long").alias("hops"))
 
 
+@_query("""SELECT x.src AS v_a, x.dst AS v_b, 1::BIGINT AS hops FROM adj x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst WHERE a.label = 'cyan' AND b.label = 'white'
+UNION ALL SELECT x.src, y.dst, 2 FROM adj x JOIN adj y ON x.dst = y.src AND y.dst <> x.src JOIN v a ON a.id = x.src JOIN v b ON b.id = y.dst WHERE a.label = 'cyan' AND b.label = 'white'
+UNION ALL SELECT x.src, z.dst, 3 FROM adj x JOIN adj y ON x.dst = y.src AND y.dst <> x.src JOIN adj z ON y.dst = z.src AND z.dst <> x.src AND z.dst <> x.dst
+JOIN v a ON a.id = x.src JOIN v b ON b.id = z.dst WHERE a.label = 'cyan' AND b.label = 'white'""")
+def match_path_edge_whole(spark, sf):
+    query = parse("--vertex a b --path p:a:b --vertexlabel a:cyan b:white")
+    rows = match.bindings(tables.purchase_succession(spark, sf), query)
+    return rows.select("v_a", "v_b", (F.size("p_p") + 1).cast("long").alias("hops"))
+
+
 @_query("SELECT seed, v_b FROM (SELECT src AS seed, dst AS v_b, row_number() OVER (PARTITION BY src ORDER BY concat(least(src, dst), ',', greatest(src, dst), '|')) AS n FROM adj) WHERE n = 1")
 def match_per_seed(spark, sf):
     graph = tables.purchase_succession(spark, sf)
@@ -307,6 +318,7 @@ def incremental_replay_whole(spark, sf):
 h2 AS (SELECT DISTINCT dst AS id FROM adj JOIN h1 ON h1.id = src WHERE mult > 1)
 SELECT id, min(d)::BIGINT AS distance FROM (SELECT id, 0 AS d FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""")
 def halo(spark, sf):
+    """Around a few users over some of the edges, as its SQL has it; halo_whole takes a partition of the whole graph."""
     graph = tables.purchase_succession(spark, sf)
     from dataclasses import replace
 
@@ -315,6 +327,14 @@ def halo(spark, sf):
     return partition.halo(often, members, 2).select("id", F.col("distance").cast("long").alias("distance"))
 
 
+@_query(""", h0 AS (SELECT id % 4 AS part, id FROM v), h1 AS (SELECT DISTINCT part, dst AS id FROM adj JOIN h0 ON h0.id = src), h2 AS (SELECT DISTINCT part, dst AS id FROM adj JOIN h1 ON h1.id = src)
+SELECT part, id, min(d)::BIGINT AS distance FROM (SELECT part, id, 0 AS d FROM h0 UNION ALL SELECT part, id, 1 FROM h1 UNION ALL SELECT part, id, 2 FROM h2) GROUP BY 1, 2""")
+def halo_whole(spark, sf):
+    graph = tables.purchase_succession(spark, sf)
+    members = graph.vertices.select(F.pmod("id", F.lit(4)).alias("part"), "id")
+    return partition.halo(graph, members, 2).select("part", "id", F.col("distance").cast("long").alias("distance"))
+
+
 def _walk_sql(steps: int) -> str:
     ctes = ", w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e), p0 AS (SELECT id AS src, id AS dst, 1.0::DOUBLE AS p FROM v)"
     for i in range(steps):
