@@ -8,7 +8,7 @@ import pytest
 from test_decontaminate import brute as brute_matches
 from test_mixing import brute as brute_mix
 from test_quality import brute as brute_quality
-from test_simhash import brute_one_of_each
+from test_similar import brute_one_of_each
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -31,7 +31,7 @@ def quality(docs, sf, spark):
 
 
 def dedup(docs, sf, spark):
-    stay = {d for d, _ in brute_one_of_each([r[:2] for r in docs], 5, 7, 4, 0.8)}
+    stay = {d for d, _ in brute_one_of_each([r[:2] for r in docs], 5, 0.8)}
     return [r for r in docs if r[0] in stay]
 
 

@@ -1,6 +1,5 @@
 """Fingerprints and components against brute force."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -132,96 +131,3 @@ def test_query(spark, sf):
     got = sorted([tuple(r) for r in simhash.query(spark, sf).select("doc_id", "fingerprint", "component_id").collect()], key=str)
     rows = [(r.doc_id, brute_fingerprint(r.text, 4)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got == sorted([(d, f"{f:016x}", c) for d, f, c in brute_components(rows, 4)], key=str)
-
-
-def brute_one_of_each(rows, shingle, radius, tables, similarity):
-    """rows: (doc_id, text). Doc ids that stay, by the texts' own order; None last."""
-    order = lambda d: (d is None, d or 0)
-    least = {}
-    for d, t in rows:
-        if (t or "") not in least or order(d) < order(least[t or ""]):
-            least[t or ""] = d
-    texts = sorted(least, key=lambda t: (order(least[t]), hashlib.md5(t.encode()).hexdigest()))
-    digests = simhash._several(tables)
-    prints = {t: simhash._votes(t, shingle, digests)[:tables] for t in texts}
-    sets = {t: set(brute_shingles(t, shingle)) for t in texts}
-    group = {t: i for i, t in enumerate(texts)}
-    for a in texts:
-        for b in texts:
-            if group[a] != group[b] and any((x ^ y).bit_count() <= radius for x, y in zip(prints[a], prints[b], strict=True)):
-                g = group[b]
-                group = {t: group[a] if h == g else h for t, h in group.items()}
-    stay = []
-    for t in texts:
-        alike = lambda s: 1.0 if not sets[s] and not sets[t] else len(sets[s] & sets[t]) / len(sets[s] | sets[t])
-        if not any(group[s] == group[t] and alike(s) >= similarity for s in stay):
-            stay.append(t)
-    return sorted([(least[t], t) for t in stay], key=str)
-
-
-def brute_shingles(text, k):
-    w = text.encode().lower().split()
-    return [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([b" ".join(w)] if w else [])
-
-
-@pytest.mark.parametrize("together", [10_000, 3])
-def test_one_of_each(spark, monkeypatch, together):
-    monkeypatch.setattr(simhash, "TOGETHER", together)
-    rng = random.Random(11)
-    rows = []
-    for c in range(8):
-        w = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.choice([12, 150, 400]))]
-        for _ in range(9):
-            v = list(w)
-            for _ in range(rng.randrange(0, 7)):
-                v[rng.randrange(len(v))] = f"new{rng.randrange(100)}"
-            rows.append((rng.randrange(10_000), " ".join(v)))
-    rows += [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A b"), (20_000, rows[0][1]), (-3, rows[12][1]), (None, rows[30][1]), (None, "only null"), (77, "twice the same row"), (77, "twice the same row")]
-    docs = spark.createDataFrame([(d, t, "x", 5) for d, t in rows], "doc_id long, text string, digest string, component int")
-    got = simhash.one_of_each(docs)
-    assert got.columns == docs.columns
-    found = sorted([(r.doc_id, r.text or "") for r in got.collect()], key=str)
-    assert found == brute_one_of_each(rows, 5, 7, 4, 0.8) and len(found) < len(rows) - 20
-    assert simhash.one_of_each(docs.limit(0)).collect() == []
-
-
-def test_recall_of_similar_texts(spark):
-    """Of texts with a similarity of 0.9 to another, nearly all are found."""
-    rng = random.Random(5)
-    missed = 0
-    for _ in range(60):
-        w = [f"v{rng.randrange(20_000)}" for _ in range(400)]
-        v = list(w)
-        for i in rng.sample(range(400), 4):
-            v[i] = "other"
-        a, b = " ".join(w), " ".join(v)
-        assert 0.88 < simhash.jaccard(simhash.shingle_set(a, 5), simhash.shingle_set(b, 5)) < 0.93
-        digests = simhash._several(4)
-        missed += not any((x ^ y).bit_count() <= 7 for x, y in zip(simhash._votes(a, 5, digests), simhash._votes(b, 5, digests), strict=True))
-    assert missed <= 6
-
-
-def test_recall_of_the_pipeline(spark):
-    """Of texts with a true similarity of 0.80 to 0.85 to another, near_dedup leaves nearly no second one."""
-    import corpus_pipeline
-
-    rng = random.Random(8)
-    rows = []
-    while len(rows) < 300:
-        w = [f"v{rng.randrange(20_000)}" for _ in range(400)]
-        v = list(w)
-        for i in rng.sample(range(400), rng.choice([7, 8, 9])):
-            v[i] = f"other{rng.randrange(1000)}"
-        a, b = set(brute_shingles(" ".join(w), 5)), set(brute_shingles(" ".join(v), 5))
-        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
-            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    stay = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
-    missed = sum(i in stay and i + 1 in stay for i in range(0, 300, 2))
-    print("missed", missed)
-    assert stay >= set(range(0, 300, 2)) and missed <= 6
-
-
-def test_links_at_the_radius_of_the_pipeline(spark):
-    test_one_segment_differs_by_one_bit_at_most(9)
-    test_links_hold_together_what_is_linked(spark, 9)

@@ -18,12 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import Groups, connected_components
-from .common import in_arrow, in_slices, materialise, table, word_blocks
+from .common import in_arrow, materialise, table, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -42,13 +41,8 @@ def _xxh64(seed: int) -> Digest:
     return (lambda shingle: xxhash.xxh64_digest(shingle, seed)), 8
 
 
-def _several(tables: int) -> list[Digest]:
-    """Independent digests for so many fingerprints, two from each call."""
-    return [((lambda shingle, seed=seed: xxhash.xxh3_128_digest(shingle, seed)), 16) for seed in range((tables + 1) // 2)]
-
-
-def _votes(text: str | None, shingle: int, digests: list[Digest]) -> list[int]:
-    """A fingerprint of 64 bits from every 8 bytes of the digests: bit i is set if it is set in over half of the shingles' hashes."""
+def votes(text: str | None, shingle: int, digests: list[Digest]) -> tuple[list[int], int]:
+    """A fingerprint of 64 bits from every 8 bytes of the digests (bit i is set if it is set in over half of the shingles' hashes), and the number of shingles."""
     width = sum(w for _, w in digests)
     counts, n, tail = np.zeros(8 * width, np.int64), 0, []
     for block in word_blocks((text or "").encode().lower()):  # bytes.lower() changes A-Z alone
@@ -66,15 +60,15 @@ def _votes(text: str | None, shingle: int, digests: list[Digest]) -> list[int]:
                 at += 8 * w
         tail = block[max(0, len(block) - shingle + 1) :] if shingle > 1 else []
     if not n and tail:  # fewer words than a shingle has: the whole sequence
-        data = b"".join(digest(b" ".join(tail)) for digest, _ in digests)
+        data, n = b"".join(digest(b" ".join(tail)) for digest, _ in digests), 1
     else:
         data = np.packbits(2 * counts > n).tobytes()
-    return [int.from_bytes(data[i : i + 8], "big") for i in range(0, width, 8)]
+    return [int.from_bytes(data[i : i + 8], "big") for i in range(0, width, 8)], n
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     """By the XXH64 of the shingles, repeats included; 0 for a text without words."""
-    return _votes(text, shingle, [_xxh64(seed)])[0]
+    return votes(text, shingle, [_xxh64(seed)])[0][0]
 
 
 def _fingerprints(shingle: int):
@@ -91,21 +85,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow(_fingerprints(shingle), "doc_id long, fp long"))
 
 
+def cuts(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of n segments of 64 bits."""
+    at = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in itertools.pairwise(at)]
+
+
 def segments(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of the fewest segments of which one must differ by one bit at most within the radius."""
-    n = max(2, radius // 2 + 1)
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+    """The fewest segments of which one must differ by one bit at most within the radius."""
+    return cuts(max(2, radius // 2 + 1))
 
 
-def _variants(fp: Column, radius: int) -> Column:
+def variants(fp: Column, cut: list[tuple[int, int]]) -> list[Column]:
     """One key for each bit: its number above, and below the bit's segment without that bit."""
     keys = []
-    for low, n in segments(radius):
+    for low, n in cut:
         for bit in range(n):
             kept = F.lit(((1 << n) - 1) & ~(1 << bit))
             keys.append(F.shiftrightunsigned(fp, low).bitwiseAND(kept).bitwiseOR(F.lit((low + bit) << 48)))
-    return F.array(*keys)
+    return keys
 
 
 class _Linker:
@@ -220,7 +218,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     fps: a column fp of distinct fingerprints.
     """
-    indexed = fps.select("fp", F.explode(_variants(F.col("fp"), radius)).alias("key"))
+    indexed = fps.select("fp", F.explode(F.array(*variants(F.col("fp"), segments(radius)))).alias("key"))
     return indexed.select("key", "fp").repartition("key").sortWithinPartitions("key").transform(in_arrow(_link(radius), "src long, dst long")).distinct()
 
 
@@ -241,138 +239,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return each.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def _texts(shingle: int, tables: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = _several(tables)
-        for batch in batches:
-            found = np.array([_votes(t.as_py(), shingle, digests)[:tables] for t in batch.column("text")], np.uint64).reshape(-1, tables)
-            prints = [pa.array(np.ascontiguousarray(found[:, t]).view(np.int64)) for t in range(tables)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *prints], names=["doc_id", "digest", *(f"fp{t}" for t in range(tables))])
-
-    return run
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles."""
-    found, tail, any_ = [], [], False
-    for block in word_blocks((text or "").encode().lower()):
-        block = tail + block
-        if len(block) >= shingle:
-            any_ = True
-            found.append(np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(block[i : i + shingle])) for i in range(len(block) - shingle + 1)], np.uint64)))
-        tail = block[max(0, len(block) - shingle + 1) :] if shingle > 1 else []
-    if not any_ and tail:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(tail))], np.uint64)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; two empty ones are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts cross the shuffle compressed document by document."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in in_slices(batches):
-        texts = pa.array([pack(t.as_py().encode()) for t in batch.column("text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("digest"), texts], names=["d", "digest", "packed"])
-
-
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in in_slices(batches):
-            sets = pa.array([shingle_set(unpack(t.as_py()).decode(), shingle).view(np.int64) for t in batch.column("packed")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("place"), batch.column("digest"), sets], names=["component", "place", "digest", "shingles"])
-
-    return run
-
-
-def _led(similarity: float):
-    """Of each component, in order: a text that is like an earlier one that stays goes; any other stays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, leaders = None, []
-        for batch in batches:
-            gone = []
-            for k in range(batch.num_rows):
-                own = batch.column("shingles")[k].values.to_numpy().view(np.uint64)
-                if (c := batch.column("component")[k].as_py()) != component:
-                    component, leaders = c, []
-                sizes = ((len(x), x) for x in leaders)
-                if any(min(n, len(own)) >= similarity * max(n, len(own)) and jaccard(x, own) >= similarity for n, x in sizes):
-                    gone.append(batch.column("digest")[k].as_py())
-                else:
-                    leaders.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["digest"])
-
-    return run
-
-
-#: Texts of one component that a task goes through at most; larger components are first thinned out over all machines.
-TOGETHER = 10_000
-
-
-def _thinned(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
-    """(texts left, texts gone): while a component has too many texts, its first goes against all others in a join."""
-    gone = None
-    shared = F.size(F.array_intersect("shingles", "lead"))
-    like = F.when((F.size("shingles") == 0) & (F.size("lead") == 0), True).otherwise(shared >= similarity * (F.size("shingles") + F.size("lead") - shared))
-    while (sets.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > TOGETHER:
-        first = sets.groupBy("component").agg(F.min_by("shingles", F.struct("place", "digest")).alias("lead"), F.min(F.struct("place", "digest")).alias("at"))
-        met = sets.join(first, "component").withColumn("is_first", F.struct("place", "digest") == F.col("at")).withColumn("like", like)
-        met = materialise(met.filter("NOT is_first").select("component", "place", "digest", "shingles", "like"), "thinned")
-        now = met.filter("like").select("digest")
-        gone = now if gone is None else gone.union(now)
-        sets = met.filter("NOT like").drop("like")
-    return sets, gone
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 7, tables: int = 4, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay when, of equal and similar texts, the one with the smallest doc_id stays; all columns as they are.
-
-    Candidates are texts of which one of several independent fingerprints lies within the radius; their exact similarity,
-    shared shingles over joint shingles, decides. Of a component of candidates, texts are taken by doc_id (null after
-    all others): each goes if it is similar to one that stays. So no document goes for being linked over others alone.
-
-    Null and empty texts are the same text; texts without words are alike. Of repeated rows, and of rows with the same
-    text, the one with the smallest doc_id stays, one row of it. Columns other than doc_id and text are passed through,
-    whatever their names. An empty table gives an empty result.
-    """
-    none = F.lit(-(1 << 63))
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("digest", F.md5("text")).withColumn("d", F.coalesce("doc_id", none))
-    prints = [f"fp{t}" for t in range(tables)]
-    schema = "doc_id long, digest string, " + ", ".join(f"{p} long" for p in prints)
-    each = own.select("doc_id", "digest", "text").transform(in_arrow(_texts(shingle, tables), schema))
-    texts = each.groupBy("digest", *prints).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("digest"))
-    texts = materialise(texts, "texts")
-    edges = None
-    for p in prints:
-        nodes = texts.groupBy(F.col(p).alias("fp")).agg(F.min("node").alias("hub"))
-        same = texts.join(nodes, F.col(p) == F.col("fp")).filter("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-        near = links(nodes.select("fp"), radius)
-        ends = near.join(nodes.select(F.col("fp").alias("src"), F.col("hub").alias("a")), "src").join(nodes.select(F.col("fp").alias("dst"), F.col("hub").alias("b")), "dst")
-        found = same.union(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        edges = found if edges is None else edges.union(found)
-    parts = connected_components(edges).select(F.col("id").alias("node"), "component")
-    place = F.coalesce("least", F.lit((1 << 63) - 1))
-    members = texts.join(parts, "node").select("component", "digest", F.coalesce("least", none).alias("d"), place.alias("place"))
-    carried = own.select("d", "digest", "text").transform(in_arrow(_packed, "d long, digest string, packed binary")).join(members, ["d", "digest"])
-    once = carried.dropDuplicates(["d", "digest"]).select("component", "place", "digest", "packed")
-    sets = materialise(once.transform(in_arrow(_sets(shingle), "component long, place long, digest string, shingles array<long>")), "shingles")
-    left, gone = _thinned(sets, similarity)
-    led = left.repartition("component").sortWithinPartitions("component", "place", "digest").transform(in_arrow(_led(similarity), "digest string"))
-    gone = led if gone is None else gone.union(led)
-    stay = texts.join(gone, "digest", "left_anti").select(F.coalesce("least", none).alias("d"), "digest")
-    kept = own.select("d", "digest", "row").join(stay, ["d", "digest"]).dropDuplicates(["d", "digest"])
-    return kept.select("row.*")
-
-
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
