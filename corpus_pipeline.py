@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornweave.llm import decontaminate, mixing, packed_ids, quality, simhash
+from thornweave.llm import decontaminate, mixing, packed_ids, quality, similar
 from thornweave.llm.common import fresh_path, materialise, table
 
 
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs, shingle=5, radius=9, tables=6, similarity=0.8)
+    return similar.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
