@@ -1,8 +1,9 @@
 """Benchmark passages in documents, by SimHash over windows of each item's size.
 
-1. A document's shingles are looked up among the items'. A shingle at offset o of an item of n words places a window of n
-   words so that the two coincide. A window without any such shingle has nothing in common with an item of its
-   size, so only windows that are placed this way are fingerprinted; a run of shingles that lie alike places one.
+1. Shingles that a document shares with an item are found by hash. A window of the item's size can only be similar
+   enough if so many of its shingles are among the item's, in whatever order; all windows that hold as many are taken, and no
+   other can pass. The benchmark is a given set of queries: where it has more shingles than are broadcast at once, it goes over
+   the documents in parts, so the documents' shingles are never shuffled.
 2. A window's SimHash counts each shingle as often as it stands there. The 64 bits are cut into blocks; of two fingerprints
    within the radius, one block differs by radius / blocks bits at most. Items are indexed under all block values so
    near to theirs, so an equality join on the block finds every item of the window's size within the radius.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, words
+from .common import materialise, small, table, words
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Matching:
     radius: int = 23
     #: Blocks of 64 / blocks bits each.
     blocks: int = 8
-    #: Rows of the items' shingles, or of their index, up to which they are broadcast (some 50 bytes each); more are joined by a shuffle.
+    #: Rows up to which tables made from the items, or keys of documents with shared shingles, are broadcast (some 50 bytes each).
     broadcast_rows: int = 500_000
 
 
@@ -81,8 +82,25 @@ def _block(fp: Column, block: Column, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", fp, block * bits).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+def _starts(rule: Matching) -> Column:
+    """First words (from 1) of the windows of n words that hold enough shingles of an item.
+
+    at: the places of the document's shingles that the item has too, in order; size: its words. If a window holds as many as are
+    needed, the first of them and the one that completes their number lie within it, so for each such pair of
+    places, all windows around both are taken.
+    """
+    a = F.greatest(F.lit(1), F.least("n", "size") - (rule.shingle - 1))
+    b = F.greatest(F.lit(1), F.col("n") - (rule.shingle - 1))
+    needed = F.ceil((a + b) * F.lit(rule.similarity / (1 + rule.similarity)) - 1e-9).cast("int")
+    last = F.greatest(F.lit(1), F.col("size") - F.col("n") + 1)
+
+    def around(j: Column) -> Column:
+        low = F.greatest(F.lit(1), F.get(F.col("at"), j + needed - 1) - (a - 1))
+        high = F.least(F.get(F.col("at"), j), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    first = F.transform(F.sequence(F.lit(0), F.size("at") - needed), around)
+    return F.when(F.size("at") >= needed, F.array_distinct(F.flatten(first))).otherwise(F.array().cast("array<int>"))
 
 
 def matches(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> DataFrame:
@@ -100,24 +118,33 @@ def matches(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> D
     item = item.withColumn("n", F.size("w")).withColumn("shingles", texts_of(F.col("w"), k)).withColumn("fp", simhash(F.col("shingles")))
     item = materialise(item, "benchmark")  # small, and used again and again
     short = sorted(r.n for r in item.filter(F.col("n") < k).select("n").distinct().collect())  # fewer lengths than a shingle has words
-    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    lowered = words(F.lower(F.coalesce("text", F.lit(""))))
+    own = docs.select("doc_id", text_hash, lowered.alias("w"))
 
-    def placed(n: int) -> DataFrame:
-        """Windows placed by shingles of n words."""
+    def hits(n: int) -> list[DataFrame]:
+        """Places of documents' shingles of n words that an item has too; one table for each part of the items."""
         of = item.filter(F.col("n") >= k) if n == k else item.filter(F.col("n") == n)
-        at = of.select("w", "n", F.explode(F.sequence(F.lit(1), F.col("n") - n + 1)).alias("o"))
-        before = F.when(F.col("o") > 1, F.xxhash64(F.get("w", F.col("o") - 2)))
-        keys = at.select(_hash(F.col("w"), F.col("o"), n).alias("key"), "n", "o", before.alias("before")).distinct()
-        near = _small(keys, keys.count(), rule.broadcast_rows)
-        spots = own.select("doc_id", "text_hash", "w", F.explode(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))).alias("i"))
-        hit = spots.withColumn("key", _hash(F.col("w"), F.col("i"), n)).join(near, "key")
-        goes_on = (F.col("i") > 1) & F.col("before").isNotNull() & (F.xxhash64(F.get("w", F.col("i") - 2)) == F.col("before"))
-        start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("o"), F.size("w") - F.col("n")))
-        return hit.filter(~F.coalesce(goes_on, F.lit(False))).select("doc_id", "text_hash", "n", start.alias("start"), F.slice("w", start + 1, F.col("n")).alias("window"))
-
-    windows = placed(k)
-    for n in short:
-        windows = windows.union(placed(n))
+        at = of.select("item_id", "w", "n", F.explode(F.sequence(F.lit(1), F.col("n") - n + 1)).alias("o"))
+        keys = materialise(at.select(_hash(F.col("w"), F.col("o"), n).alias("key"), "item_id", "n").distinct(), "benchmark-keys")
+        parts = -(-keys.count() // max(1, rule.broadcast_rows))
+        spots = own.select("doc_id", "text_hash", F.size("w").alias("size"), "w", F.explode(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))).alias("i"))
+        spots = spots.select("doc_id", "text_hash", "size", "i", _hash(F.col("w"), F.col("i"), n).alias("key"))
+        return [spots.join(F.broadcast(keys.filter(F.pmod("key", F.lit(parts)) == p)), "key").drop("key") for p in range(parts)]
+
+    each = [h for n in [k, *short] for h in hits(n)]
+    if not each:
+        each = [own.select("doc_id", "text_hash", F.lit(0).alias("size"), F.lit(0).alias("i")).limit(0).crossJoin(item.select("item_id", "n").limit(0))]  # no item: nothing
+    met = each[0]
+    for h in each[1:]:
+        met = met.union(h.select(*met.columns))
+    shared = met.groupBy("doc_id", "text_hash", "item_id", "n").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("i")).alias("at"))
+    starts = shared.select("doc_id", "text_hash", "n", _starts(rule).alias("starts")).filter(F.size("starts") > 0)
+    starts = materialise(starts.groupBy("doc_id", "text_hash", "n").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "starts")
+    named = small(starts.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"}), starts.count(), rule.broadcast_rows)
+    held = docs.select("doc_id", text_hash, "text").join(named, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    windows = held.select("doc_id", "text_hash", "n", "starts", lowered.alias("w")).select("doc_id", "text_hash", "n", "w", F.explode("starts").alias("i"))
+    windows = windows.select("doc_id", "text_hash", "n", (F.col("i") - 1).alias("start"), F.slice("w", F.col("i"), F.col("n")).alias("window"))
     windows = materialise(windows, "windows")  # else the join's planning would have a fingerprint computed twice
     prints = windows.withColumn("found", texts_of(F.col("window"), k)).drop("window").withColumn("print", simhash(F.col("found")))
     prints = materialise(prints, "window-prints")
@@ -127,7 +154,7 @@ def matches(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> D
     index = index.select("item_id", "n", "shingles", "fp", "block", F.explode(F.array(*[F.lit(m).cast("long") for m in nearby])).alias("off"))
     index = index.select("item_id", "n", "fp", "shingles", "block", _block(F.col("fp"), F.col("block"), bits).bitwiseXOR(F.col("off")).alias("value"))
     light = index.select("item_id", "n", "fp", "block", "value")
-    light = _small(light, light.count(), rule.broadcast_rows)
+    light = small(light, light.count(), rule.broadcast_rows)
     looked = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(rule.blocks - 1))).alias("block"))
     looked = looked.withColumn("value", _block(F.col("print"), F.col("block"), bits))
     differ = F.col("print").bitwiseXOR(F.col("fp"))
@@ -137,7 +164,7 @@ def matches(docs: DataFrame, items: DataFrame, rule: Matching = Matching()) -> D
     )
     pairs = looked.join(light, ["n", "block", "value"]).withColumn("differ", differ).filter(F.bit_count("differ") <= rule.radius).filter(~met_before)
     texts = item.select("item_id", "n", "fp", "shingles")
-    texts = _small(texts, texts.count(), rule.broadcast_rows // 100)
+    texts = small(texts, texts.count(), rule.broadcast_rows // 100)
     verified = pairs.join(texts.withColumnRenamed("item_id", "own_id"), ["n", "fp"]).filter(F.col("own_id").eqNullSafe(F.col("item_id")))
     scored = verified.select("doc_id", "text_hash", "item_id", "start", F.bit_count("differ").cast("int").alias("distance"), weighted_similarity(F.col("found"), F.col("shingles")).alias("similarity"))
     best = scored.filter(F.col("similarity") >= rule.similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance")).alias("best"))

@@ -54,11 +54,13 @@ DECONTAMINATE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 ds AS (SELECT doc_id, len(w) AS size, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
-items AS (SELECT item_id, len(w) AS n, o, array_to_string(w[o:o + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS o FROM i WHERE len(w) >= 5)),
-placed AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - o, size - n)) AS start, least(n, size) AS n FROM ds JOIN items USING (g)),
-found AS (SELECT doc_id, item_id, start, n, g, count(*) AS c FROM placed JOIN ds USING (doc_id) WHERE p > start AND p <= start + n - 4 GROUP BY ALL),
-wanted AS (SELECT item_id, g, count(*) AS c, any_value(n) AS size FROM items GROUP BY ALL),
-shared AS (SELECT doc_id, item_id, start, any_value(found.n) - 4 AS a, any_value(size) - 4 AS b, sum(least(found.c, wanted.c)) AS s FROM found JOIN wanted USING (item_id, g) GROUP BY ALL)
+wanted AS (SELECT item_id, len(w) AS n, array_to_string(w[o:o + 4], ' ') AS g, count(*) AS c FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS o FROM i WHERE len(w) >= 5) GROUP BY ALL),
+met AS (SELECT doc_id, item_id, size, n, c, p, g FROM ds JOIN wanted USING (g)),
+held AS (
+  SELECT doc_id, item_id, start, g, count(*) AS k, any_value(c) AS c, any_value(least(n, size)) - 4 AS a, any_value(n) - 4 AS b
+  FROM (SELECT *, unnest(range(greatest(0, p - (n - 4)), least(p - 1, greatest(0, size - n)) + 1)) AS start FROM met) GROUP BY ALL
+),
+shared AS (SELECT doc_id, item_id, start, any_value(a) AS a, any_value(b) AS b, sum(least(k, c)) AS s FROM held GROUP BY ALL)
 SELECT doc_id, item_id, start::BIGINT AS start, round(s / (a + b - s), 6) AS similarity FROM shared
 WHERE s / (a + b - s) >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s / (a + b - s) DESC, start) = 1
 """
