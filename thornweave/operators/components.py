@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, in_arrow, remove
+from ..storage import ROWS_A_FILE, fresh_path, in_arrow, remove
 
 
 #: Edges of which a task keeps a spanning forest before the rounds begin.
@@ -66,24 +66,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("u"), F.col("m").alias("v")).union(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", about: int | None = None) -> DataFrame:
     """(id, component) for every id in edges; component is the least id that can be reached, direction ignored.
 
     First each task turns TOGETHER edges into stars by itself, which leaves an edge a vertex and task at most. Each round then
     turns the edges into stars around ever smaller ids, so the rounds grow with the logarithm of the longest path, and
     no round makes more edges than it was given. Every round ends in a table in the shared folder; the
-    last but one is deleted. Edges with a null end are ignored; a self-loop makes its id a component.
+    last but one is deleted. Edges with a null end are ignored; a self-loop makes its id a component. about: how many edges
+    there may be, where that is known; it decides alone into how many files they are written at first.
     """
     spark = edges.sparkSession
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = ends.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     path = fresh_path(spark, "stars")
+    if about is not None:
+        pairs = pairs.coalesce(max(1, -(-about // ROWS_A_FILE)))
     pairs.write.parquet(path)
     read = spark.read.schema(pairs.schema).parquet
     loops = read(path).filter("u = v").select(F.col("u").alias("id"))
     first, seen = path, None
     edges_, path = read(path).filter("u <> v"), fresh_path(spark, "stars")
-    tasks = -(-edges_.count() // TOGETHER) or 1
+    tasks = -(-edges_.count() // TOGETHER) or 1  # no round makes more edges, so as many files will do for each
     edges_.repartition(tasks).transform(in_arrow(_forest, "u long, v long")).write.parquet(path)
     while True:
         now = read(path).filter("u <> v")
@@ -92,7 +95,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         seen = state
         following = fresh_path(spark, "stars")
-        _small_star(_large_star(now).distinct()).distinct().write.parquet(following)
+        _small_star(_large_star(now).distinct()).distinct().coalesce(tasks).write.parquet(following)
         if path != first:
             remove(spark, path)
         path = following

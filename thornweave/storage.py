@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that are worth a file.
+ROWS_A_FILE = 50_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many narrow rows, in as many partitions as they are worth: a small table isn't written as a file for each shuffle partition."""
+    return df.repartition(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of fresh_path() that nothing will read again."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
