@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, in_arrow, materialise, remove, shared_folder  # noqa: F401
+from ..storage import fresh_path, gathered, in_arrow, materialise, remove, shared_folder  # noqa: F401
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import Groups, connected_components
-from .common import in_arrow, in_slices, materialise, small, word_blocks
+from .common import gathered, in_arrow, in_slices, materialise, small, word_blocks
 from .simhash import Digest, cuts, variants, votes
 
 #: Buckets of up to so many prints are compared side by side; larger ones one print against all that aren't linked yet.
@@ -269,8 +269,8 @@ def _across(similarity: float):
     return run
 
 
-def _labelled(links: DataFrame) -> DataFrame:
-    return connected_components(links, "t", "label").select(F.col("id").alias("t"), F.col("component").alias("label"))
+def _labelled(links: DataFrame, rows: int) -> DataFrame:
+    return connected_components(links, "t", "label", rows).select(F.col("id").alias("t"), F.col("component").alias("label"))
 
 
 def groups_within(sets: DataFrame, similarity: float, level: int = 0) -> DataFrame:
@@ -280,15 +280,15 @@ def groups_within(sets: DataFrame, similarity: float, level: int = 0) -> DataFra
     """
     sized = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1).cast("long")).alias("blocks")
-    large = materialise(sized.select("component", blocks).filter("blocks > 1"), "large")
-    some = large.count()
+    large = sized.select("component", blocks).filter("blocks > 1")
+    some, rows = large.count(), sets.count()
     nth = F.pmod(F.xxhash64("t", F.lit(level)), F.coalesce("blocks", F.lit(1).cast("long")))
     dealt = sets.join(small(large, some, FEW_KEYS), "component", "left") if some else sets.withColumn("blocks", F.lit(None).cast("long"))
     dealt = dealt.select("component", nth.alias("block"), "t", "place", "shingles", "blocks")
     found = dealt.repartition("component", "block").sortWithinPartitions("component", "block", "place", "t").transform(in_arrow(_within(similarity), "t long, label long"))
     if not some:
         return found
-    first = materialise(found, "blocks")
+    first = materialise(gathered(found, rows), "blocks")
     whole = dealt.filter("blocks > 1")
     leaders = whole.join(first.filter("t = label").select("t"), "t", "left_semi").select("component", "t", "place", "shingles")
     links = first
@@ -296,14 +296,14 @@ def groups_within(sets: DataFrame, similarity: float, level: int = 0) -> DataFra
         links = links.union(groups_within(leaders, similarity, level + 1))
     if level:
         return links
-    now = materialise(whole.select("component", "t").join(_labelled(links), "t"), "labels")
+    now = materialise(gathered(whole.select("component", "t").join(_labelled(links, rows), "t"), rows), "labels")
     most = now.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     apart = now.join(small(most, some, FEW_KEYS), "component").filter("label <> most").select("t", "label")
     own = whole.join(now.select("t", "label"), "t").select("component", "block", F.lit(0).alias("side"), "t", "label", "shingles")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     others = whole.drop("block").join(apart, "t").select("component", every, F.lit(1).alias("side"), "t", "label", "shingles")
     met = own.union(others).repartition("component", "block").sortWithinPartitions("component", "block", "side", "t")
-    return _labelled(links.union(met.transform(in_arrow(_across(similarity), "t long, label long"))))
+    return _labelled(links.union(met.transform(in_arrow(_across(similarity), "t long, label long"))), rows)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, tables: int = 3, segments: int = 4, distance: int = 44, similarity: float = 0.8) -> DataFrame:
@@ -326,20 +326,24 @@ def one_of_each(docs: DataFrame, shingle: int = 5, tables: int = 3, segments: in
     schema = "d long, digest string, size long, " + ", ".join(f"{p} long" for p in prints)
     each = materialise(own.select("d", "digest", "text").transform(in_arrow(_prints(shingle, tables), schema)), "prints")
     texts = each.groupBy("digest", "size", *prints).agg(F.min("d").alias("place")).withColumn("t", F.xxhash64("digest")).withColumn("node", _node(prints))
-    texts = materialise(texts, "texts")
-    parts = connected_components(candidate_links(texts, prints, segments, distance)).withColumnRenamed("id", "node")
-    members = materialise(texts.join(parts, "node").select("component", "digest", F.col("place").alias("d"), "t"), "members")
-    keys = small(members, members.count(), FEW_KEYS)
+    n = each.count()
+    texts = materialise(gathered(texts, n), "texts")
+    parts = connected_components(candidate_links(texts, prints, segments, distance), about=n).withColumnRenamed("id", "node")
+    members = materialise(gathered(texts.join(parts, "node").select("component", "digest", F.col("place").alias("d"), "t"), n), "members")
+    few = members.count()
+    keys = small(members, few, FEW_KEYS)
     carried = own.select("d", "digest", "text").join(keys, ["d", "digest"], "left_semi").transform(in_arrow(_packed, "d long, digest string, packed binary"))
     once = carried.join(keys, ["d", "digest"]).dropDuplicates(["d", "digest"]).select("component", "t", F.col("d").alias("place"), "packed")
+    once = once.coalesce(max(1, -(-few // BLOCK_TEXTS)))
     sets = materialise(once.transform(in_arrow(_sets(shingle), "component long, t long, place long, shingles array<long>")), "shingles")
-    named = materialise(groups_within(sets, similarity), "groups").join(members.select("t", "digest", "d"), "t")
+    named = materialise(gathered(groups_within(sets, similarity), few), "groups").join(members.select("t", "digest", "d"), "t")
     first = named.groupBy("label").agg(F.min(F.struct("d", "digest")).alias("first"))
     like = named.join(first, "label").filter(F.struct("d", "digest") != F.col("first")).select("digest").distinct().withColumn("like", F.lit(True))
     verdict = texts.select("digest", "place").join(like, "digest", "left")
     rows = each.groupBy("d", "digest").agg(F.count("*").alias("n")).join(verdict, "digest")
-    rows = materialise(rows.select("d", "digest", (F.coalesce("like", F.lit(False)) | (F.col("d") != F.col("place"))).alias("goes"), "n"), "verdicts")
-    gone, again = rows.filter("goes").select("d", "digest"), rows.filter("NOT goes AND n > 1").select("d", "digest")
+    rows = rows.select("d", "digest", (F.coalesce("like", F.lit(False)) | (F.col("d") != F.col("place"))).alias("goes"), "n").filter("goes OR n > 1")
+    rows = materialise(gathered(rows, n), "verdicts")
+    gone, again = rows.filter("goes").select("d", "digest"), rows.filter("NOT goes").select("d", "digest")
     many, repeated = gone.count(), again.count()
     stay = own.select("row", "d", "digest").join(small(gone, many, FEW_KEYS), ["d", "digest"], "left_anti")
     if not repeated:
