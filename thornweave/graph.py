@@ -55,6 +55,10 @@ class PropertyGraph:
             found = found.filter(property_of(key) == value)
         return (found.join(candidates.select("id").distinct(), "id", "left_semi") if candidates is not None else found).select("id")
 
+    def label_counts(self) -> dict[str, int]:
+        """How many vertices have each label; one number a label comes to the driver."""
+        return {r.label: r["count"] for r in self.vertex_labels().groupBy("label").count().collect()}
+
     # --- edges ---------------------------------------------------------------------------------------------------
 
     def pairs(self) -> DataFrame:

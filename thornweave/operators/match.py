@@ -71,19 +71,17 @@ def seeds_of(graph: PropertyGraph, query: PatternQuery, among: DataFrame | None
     return graph.filter_vertices(query.labels.get(query.vertices[0], ""), None, among)
 
 
-def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MAX_PATH_EDGES, seeds: DataFrame | None = None, edges_of: dict[str, DataFrame] | None = None, constraints=((), ()), first: str | None = None) -> DataFrame:
+def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MAX_PATH_EDGES, seeds: DataFrame | None = None, edges_of: dict[str, DataFrame] | None = None, constraints=((), ()), first_edge: str | None = None, selectivity: dict[str, int] | None = None) -> DataFrame:
     """All exact bindings: columns v_, k_ and p_.
 
     seeds: ids (a column id) for the symbol that is bound first. edges_of: by a query edge's name, the adjacency (src, dst, key, label, add)
     to take it from instead of the whole graph's. constraints: symbols and edges of which the first has the smaller id or key.
-    first: the symbol to start from, by default the first as written.
+    first_edge: an edge of the query to start from, by default the first symbol as written. selectivity: number of vertices by label,
+    to go to rare ones first. The graph's vertices hold every end of its edges.
     """
     candidates, less, keys = _Candidates(graph, query), constraints[0], constraints[1]
-    start = first or query.vertices[0]
-    own = graph.vertices.select(F.col("id").alias(f"v_{start}"))
-    if seeds is not None:
-        own = own.join(seeds.select(F.col("id").alias(f"v_{start}")).distinct(), f"v_{start}", "left_semi")
-    rows, bound, taken, inner = candidates.bound(own, start, set()), {start}, [], []
+    steps = order(query, selectivity=selectivity, first_edge=first_edge)
+    start = steps[0].frm
 
     def adjacency(edge, back: bool) -> DataFrame:
         ways = (edges_of or {}).get(edge.name)
@@ -95,7 +93,13 @@ def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MA
         new = F.col(f"v_{symbol}")
         return _every([new != F.col(f"v_{b}") for b in bound] + [~F.array_contains(f"p_{p}", new) for p in inner])
 
-    for step in order(query, start):
+    rows, bound, taken, inner = None, {start}, [], []
+    if seeds is not None or steps[0].edge.path or steps[0].closes:  # else the first edge's own rows are the first bindings
+        rows = graph.vertices.select(F.col("id").alias(f"v_{start}"))
+        if seeds is not None:
+            rows = rows.join(seeds.select(F.col("id").alias(f"v_{start}")).distinct(), f"v_{start}", "left_semi")
+        rows = candidates.bound(rows, start, set())
+    for step in steps:
         e = step.edge
         if e.path:
             rows = _along(rows, adjacency(e, step.back).select("src", "dst").distinct(), step, [f"v_{b}" for b in bound if b != step.to], [f"p_{p}" for p in inner], max_path_edges)
@@ -104,7 +108,7 @@ def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MA
             ways = adjacency(e, step.back).select(F.col("src").alias(f"v_{step.frm}"), F.col("dst").alias(f"v_{step.to}"), F.col("key").alias(f"k_{e.name}"))
             if step.frm == step.to:  # a loop
                 ways = adjacency(e, False).filter("src = dst").select(F.col("src").alias(f"v_{step.frm}"), F.col("key").alias(f"k_{e.name}"))
-            rows = rows.join(ways, [f"v_{s}" for s in dict.fromkeys([step.frm, step.to] if step.closes else [step.frm])])
+            rows = candidates.bound(ways, start, set()) if rows is None else rows.join(ways, [f"v_{s}" for s in dict.fromkeys([step.frm, step.to] if step.closes else [step.frm])])
             if not step.closes:
                 rows = rows.filter(fresh(step.to))
             for f in taken:

@@ -72,9 +72,12 @@ def ordered(matches: DataFrame, graph: PropertyGraph, orderby: list[str], descen
 
 
 def distinct(matches: DataFrame, by: str = "both") -> DataFrame:
-    """One match for each subgraph: by its vertices and edges, by `edges` or by `vertices` alone."""
-    key = {"both": ["canon_key"], "edges": ["edges"], "vertices": ["vertices"]}[by]
-    return matches.dropDuplicates(key)
+    """One match for each subgraph, that with the smallest ids in the order of the query's symbols: by vertices and edges, by `edges` or by `vertices` alone."""
+    key = {"both": "canon_key", "edges": "edges", "vertices": "vertices"}[by]
+    first = [c for c in matches.columns if c.startswith("v_")]
+    rest = [c for c in matches.columns if c not in (*first, key)]
+    found = matches.groupBy(key).agg(F.min(F.struct(*first, *rest)).alias("_least"))
+    return found.select(*[F.col(c) if c == key else F.col("_least")[c].alias(c) for c in matches.columns])
 
 
 def one_per_seed(matches: DataFrame) -> DataFrame:

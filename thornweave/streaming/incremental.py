@@ -32,11 +32,10 @@ def new_matches(before: PropertyGraph, delta: DataFrame, after: PropertyGraph, q
         now, old = (match.bindings(g, query, max_path_edges) for g in (after, before))
         return match.as_matches(now.join(old, keys, "left_anti").select(*now.columns), after, query)
     own = replace(after, edges=delta.select(*after.edges.columns))
-    ends = delta.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     found = None
-    for j, e in enumerate(query.edges):
+    for j, e in enumerate(query.edges):  # the batch's edge comes first, so that hubs of the graph are only gone through from it
         ways = {f.name: (before if i < j else own if i == j else after).adjacency() for i, f in enumerate(query.edges)}
-        rows = match.bindings(after, query, max_path_edges, ends, ways, first=e.src)
+        rows = match.bindings(after, query, max_path_edges, None, ways, first_edge=e.name)
         found = rows if found is None else found.unionByName(rows)
     return match.as_matches(found, after, query)
 
