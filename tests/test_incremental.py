@@ -4,13 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from test_match import CASES, GRAPHS
 
 from thornweave import cli
 from thornweave.graph import graph_of
 from thornweave.operators import match
 from thornweave.plans.query import parse
 from thornweave.sources import files
-from thornweave.sources.config import EngineConfig
+from thornweave.sources.config import EngineConfig, parse_config
 from thornweave.streaming import adaptive, incremental
 
 TRIANGLE = "--vertex a b c --edge x:a:b y:b:c z:c:a"
@@ -147,3 +148,101 @@ def test_command_line(spark, tmp_path):
     assert sorted({r.canon_key for r in rows}) == keys(match.exact(graph.up_to(3), query, distinct=True))
     assert cli.run(spark, config, batch=True).count() == len(rows)
     assert cli.run_query(graph, TRIANGLE + " --aggregate COUNT").first()[0] == match.count(graph, query).first()[0]
+
+
+GOLDEN = [c for c in CASES if c[0] in ("test1", "test1p", "test4", "test1d", "line")]
+
+
+@pytest.mark.parametrize("name,text,sets,n", GOLDEN)
+def test_samples_through_a_configuration(spark, tmp_path, name, text, sets, n):
+    """A replay in steps gives what the query gives on the whole graph: subgraphs, and all bindings where they are counted."""
+    vertices, edges, directed = GRAPHS[name]
+    graph = graph_of(spark, vertices, [(*e, i // 4) for i, e in enumerate(edges)], directed, name == "test4")
+    files.write_node_link(graph, str(tmp_path / "g"))
+    ini = f"[Log]\nlevel = info\n[Run]\ninput_json = {tmp_path / 'g'}\nbase_steps = 1\nsteps = 9\nquery = {text}"
+    rows = cli.run(spark, parse_config(ini)).collect()
+    assert {frozenset(r.vertices) for r in rows} == {frozenset(s) for s in sets} and len({r.canon_key for r in rows}) == len(rows)
+    for batch in (False, True):
+        assert cli.run(spark, parse_config(ini + " --aggregate COUNT"), batch=batch).first()[0] == n
+
+
+def test_aggregates_through_a_configuration(spark, tmp_path):
+    vertices, edges, _ = GRAPHS["test1p"]
+    graph = graph_of(spark, vertices, [(*e, i // 3) for i, e in enumerate(edges)])
+    files.write_node_link(graph, str(tmp_path / "g"))
+    for more in ("--aggregate COUNT MAX:a.score MIN:b.score SUM:a.score AVG:c.score", "--groupby a.score", "--groupby a.score --aggregate COUNT MAX:b.score"):
+        text = TRIANGLE + " " + more
+        config = EngineConfig(str(tmp_path / "g"), text, 1, 9)
+        assert sorted(map(tuple, cli.run(spark, config).collect())) == sorted(map(tuple, cli.run_query(graph, text).collect()))
+    order = TRIANGLE + " --orderby a.score b.score --desc"
+    got, want = cli.run(spark, EngineConfig(str(tmp_path / "g"), order, 1, 9)), cli.run_query(graph, order)
+    assert [r.canon_key for r in got.collect()] == [r.canon_key for r in want.collect()]
+
+
+def test_time_limit_and_profile(spark, tmp_path, caplog):
+    graph = made(spark)
+    files.write_node_link(graph, str(tmp_path / "g"))
+    with caplog.at_level("INFO", "thornweave"):
+        early = cli.run(spark, EngineConfig(str(tmp_path / "g"), TRIANGLE, 1, 9, 1e-9, profile=True))
+    assert keys(early) == keys(match.exact(graph.up_to(0), parse(TRIANGLE), distinct=True)) and "cumulative" in caplog.text and "step 1" not in caplog.text
+    part = cli.run(spark, EngineConfig(str(tmp_path / "g"), TRIANGLE, 9, 0, 1e-9), batch=True)
+    assert set(keys(part)) < set(keys(match.exact(graph, parse(TRIANGLE), distinct=True)))
+
+
+def test_a_batch_that_runs_again(spark, tmp_path):
+    """The second attempt of an epoch writes what the first wrote, in this process and after a restart."""
+    graph, query = made(spark), parse(TRIANGLE)
+    state = str(tmp_path / "state")
+    matcher = incremental.IncrementalMatcher(graph.up_to(1), query, state=state)
+    taken = []
+
+    class Stream:
+        @property
+        def writeStream(self):
+            return self
+
+        def foreachBatch(self, f):
+            taken.append(f)
+            return self
+
+        option = trigger = lambda self, *a, **b: self
+
+        def start(self):
+            return None
+
+    out = str(tmp_path / "out")
+    incremental.stream(Stream(), matcher, out, str(tmp_path / "c"))
+    batch = graph.edges.filter("add = 2")
+    taken[0](batch, 0)
+    first = keys(spark.read.parquet(f"{out}/epoch=0"))
+    assert first == sorted(set(keys(match.exact(graph.up_to(2), query, distinct=True))) - set(keys(match.exact(graph.up_to(1), query, distinct=True)))) and first
+    taken[0](batch, 0)
+    assert keys(spark.read.parquet(f"{out}/epoch=0")) == first and len(matcher.metrics) == 1
+    again = incremental.IncrementalMatcher.resume(spark, query, state)
+    assert again.metrics == matcher.metrics and keys(again.matches) == keys(matcher.matches)
+    incremental.stream(Stream(), again, out, str(tmp_path / "c"))
+    taken[1](batch, 0)
+    assert keys(spark.read.parquet(f"{out}/epoch=0")) == first and len(again.metrics) == 1
+    taken[1](graph.edges.filter("add = 3"), 1)
+    assert keys(again.matches) == keys(match.exact(graph.up_to(3), query, distinct=True)) and again.matches.count() == again.metrics[-1].total
+
+
+def test_a_step_that_breaks_off(spark, tmp_path, monkeypatch):
+    graph, query = made(spark), parse(TRIANGLE)
+    matcher = incremental.IncrementalMatcher(graph.up_to(2), query, state=str(tmp_path / "s"))
+    before = keys(matcher.matches)
+    monkeypatch.setattr(matcher, "_mark", lambda m: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        matcher.step(graph.edges.filter("add = 3"), 3)
+    assert keys(matcher.matches) == before and keys(incremental.IncrementalMatcher.resume(spark, query, str(tmp_path / "s")).matches) == before
+    monkeypatch.undo()
+    assert matcher.step(graph.edges.filter("add = 3"), 3).new > 0 and keys(matcher.matches) == keys(match.exact(graph, query, distinct=True))
+
+
+def test_guided_mode_resumes(spark, tmp_path):
+    graph, query = made(spark, 2), parse(TRIANGLE)
+    one = incremental.IncrementalMatcher(graph.up_to(1), query, "guided", 4, state=str(tmp_path / "s"))
+    two = incremental.IncrementalMatcher.resume(spark, query, str(tmp_path / "s"), "guided", 4)
+    assert sorted(map(tuple, two.walk.collect())) == sorted(map(tuple, one.walk.collect())) and sorted(map(str, two.paths.collect())) == sorted(map(str, one.paths.collect()))
+    two.step(graph.edges.filter("add = 2"), 2)
+    assert two.graph.edges.count() == graph.up_to(2).edges.count()

@@ -191,3 +191,28 @@ def test_seed_ranking(spark):
     graph = graph_of(spark, vertices, edges)
     rows = match.rank_seeds(graph, parse(TRIANGLE), random_walk(graph)).collect()
     assert rows and {r.id for r in rows} <= set(range(6))
+
+
+@pytest.mark.parametrize("labels,complete", [("a:A b:B c:C", True), ("a:A b:A c:B", True), ("a:A b:B", False), ("", True), ("a:A", False)])
+def test_labels_that_rule_out_symmetries(labels, complete):
+    from thornweave.plans.planner import symmetry_breaks
+
+    assert symmetry_breaks(parse(TRIANGLE + (" --vertexlabel " + labels if labels else "")))[2] == complete
+
+
+def test_one_defined_match_for_each_subgraph(spark):
+    vertices, edges, _ = GRAPHS["test1p"]
+    graph = graph_of(spark, vertices, edges)
+    found = match.exact(graph, parse(TRIANGLE))
+    first = {}
+    for r in sorted(found.collect(), key=lambda r: (r.v_a, r.v_b, r.v_c)):
+        first.setdefault(r.canon_key, (r.v_a, r.v_b, r.v_c))
+    for df in (found, found.repartition(7)):
+        assert {r.canon_key: (r.v_a, r.v_b, r.v_c) for r in results.distinct(df).collect()} == first
+
+
+def test_rare_labels_first(spark):
+    vertices, edges, _ = GRAPHS["test4"]
+    graph, query = graph_of(spark, vertices, edges), parse("--vertex a b c --edge x:a:b y:a:c --vertexlabel b:cyan c:magenta")
+    plain = match.bindings(graph, query).collect()
+    assert graph.label_counts() == {"cyan": 4, "magenta": 3} and sorted(map(str, match.bindings(graph, query, selectivity=graph.label_counts()).select(plain[0].__fields__).collect())) == sorted(map(str, plain))

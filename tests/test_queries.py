@@ -30,20 +30,38 @@ def test_query(spark, sf, name):
     compare(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
-def test_query_without_sql(spark, sf, name):
-    frame = queries.QUERIES[name](spark, sf)
-    assert frame.columns and frame.count() >= 0
-
-
-def test_approximate_matches_over_the_whole_graph(spark, sf):
-    """Exact ones among them are those of the greedy mode over all edges, beyond the seventh with (src * 5 + dst * 3) % 7 = 0."""
-    from thornweave.operators import match
-    from thornweave.plans.query import parse
-    from thornweave.sources import tables
-
-    found = {tuple(r) for r in queries.QUERIES["approximate_matches"](spark, sf).filter("exact").select("v_a", "v_b", "v_c").collect()}
-    query = parse("--vertex a b c --edge x:a:b y:b:c --directed --vertexlabel a:ASIA b:EUROPE")
-    whole = match.find(tables.nation_trade(spark, sf), query, "greedy").select("v_a", "v_b", "v_c")
-    assert found == {tuple(r) for r in whole.collect()}
-    assert any((a * 5 + b * 3) % 7 or (b * 5 + c * 3) % 7 for a, b, c in found)
+def test_queries_without_sql():
+    """Communities come of rounds of moves, and parts are cut along them; tests/test_graph.py holds both against brute force."""
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"communities", "overlapping_parts"}
+
+
+def test_communities(spark, sf):
+    """Every user is in one community, named by its smallest member, and all that is left whole holds together."""
+    graph = queries.tables.purchase_succession(spark, sf)
+    of = {r.id: r.community for r in queries.QUERIES["communities"](spark, sf).collect()}
+    assert sorted(of) == sorted(r.id for r in graph.vertices.collect())
+    members = {}
+    for i, c in of.items():
+        members.setdefault(c, set()).add(i)
+    assert all(min(m) == c for c, m in members.items())
+    near = {}
+    for r in graph.edges.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    whole = [m for m in members.values() if len(m) >= 40]
+    for m in whole:
+        seen, frontier = set(), [min(m)]
+        while frontier:
+            x = frontier.pop()
+            seen.add(x)
+            frontier += [y for y in near.get(x, ()) if y in m and y not in seen]
+        assert seen == m
+
+
+def test_overlapping_parts(spark, sf):
+    """Four parts as even as can be; what lies one edge around them is counted once."""
+    graph = queries.tables.purchase_succession(spark, sf)
+    n = graph.vertices.count()
+    found = {(r.part, r.distance): r.vertices for r in queries.QUERIES["overlapping_parts"](spark, sf).collect()}
+    inner = sorted(found[p, 0] for p in range(4))
+    assert sum(inner) == n and inner[-1] - inner[0] <= 1 and all(found[p, 0] + found.get((p, 1), 0) <= n for p in range(4))

@@ -52,6 +52,38 @@ def test_edge_lists(spark, tmp_path):
     assert sorted((r.src, r.dst, r["add"]) for r in files.read_timestamp_csv(spark, str(path)).edges.collect()) == [(1, 2, 1), (2, 3, 0)]
 
 
+def test_order_of_files(spark, tmp_path):
+    """A folder's files come in the order of their names, whatever their sizes, and a file's splits in their order in it."""
+    day = 86400
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(f"1 2 {1 * day}\n2 3 {2 * day}\n")
+    (tmp_path / "in" / "b.txt").write_text("".join(f"{i} {i + 1} {10 * day}\n" for i in range(100, 400)))
+    steps = {r["add"] for r in files.read_timed_edge_list(spark, str(tmp_path / "in")).edges.collect()}
+    assert steps == {0, 1, 9}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        lines = files.read_edge_list(spark, str(tmp_path / "in"), 1).edges.filter("src >= 100").orderBy("src").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(lines) == 300 and [r["add"] for r in lines] == list(range(2, 302))
+
+
+def test_shared_folder(spark):
+    """Without a named folder, only one process may use its own disk."""
+    from types import SimpleNamespace
+
+    from thornweave import storage
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+
+    assert storage.shared_folder(session("local[4]")).startswith("file:///") and storage.shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            storage.shared_folder(session(master))
+
+
 def test_state(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, p double")
     files.write_state(df, str(tmp_path), "walk", 3)

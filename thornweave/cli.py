@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import cProfile
+import io
 import logging
+import pstats
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +37,29 @@ def run_query(graph: PropertyGraph, text: str, mode: str = "exact", **options) -
 
 
 def run(spark: SparkSession, config: EngineConfig, mode: str = "exact", batch: bool = False) -> DataFrame:
-    """Replays the configured steps, logs each, and returns the answer after the last."""
+    """Replays the configured steps, logs each, and returns the answer after the last, as run_query() gives it for that snapshot.
+
+    config.time_limit: seconds after which no further step (batch: no further chunk of a snapshot's seeds) is begun.
+    config.profile: what the driver spent its time on is logged at the end; executors' work is in Spark's event log.
+    """
+    profiler = cProfile.Profile() if config.profile else None
+    if profiler:
+        profiler.enable()
     graph, query = read_node_link(spark, config.input_json), parse(config.query)
-    found = None
+    found, distinct = None, not (query.aggregates or query.groupby)
     if batch:
-        for step, found, seconds in replay_batch(graph, query, config.base_steps, config.steps, "greedy" if mode == "guided" else mode):
+        for step, found, seconds in replay_batch(graph, query, config.base_steps, config.steps, "greedy" if mode == "guided" else mode, distinct, config.time_limit):
             log.info("step %s: %d patterns in %.3f s", step, found.count(), seconds)
     else:
-        for matcher, m in replay(graph, query, config.base_steps, config.steps, mode=mode):
+        for matcher, m in replay(graph, query, config.base_steps, config.steps, config.time_limit, mode=mode, distinct=distinct):
             found = matcher.matches
             if m is not None:
                 log.info("step %d: %d edges, %d new patterns, %d in all, %.3f s, %.1f a second", m.step, m.edges, m.new, m.total, m.elapsed, m.throughput)
+    if profiler:
+        profiler.disable()
+        text = io.StringIO()
+        pstats.Stats(profiler, stream=text).sort_stats("cumulative").print_stats(30)
+        log.info("profile of the driver:\n%s", text.getvalue())
     return post_processed(found, graph, query)
 
 

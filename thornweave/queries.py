@@ -139,30 +139,20 @@ def match_grouped_aggregates(spark, sf):
     return results.aggregated(match.exact(graph, parse(TRIANGLE)), graph, ["COUNT", "MAX:b.score"], ["a.label"]).toDF("label", "n", "most")
 
 
-@_query("SELECT src AS v_a, dst AS v_b, row_number() OVER (ORDER BY src % 10 DESC, dst % 10 DESC, src, dst) AS place FROM e")
+@_query("SELECT src AS v_a, dst AS v_b, row_number() OVER (ORDER BY src % 10 DESC, dst % 10 DESC, concat(src, ',', dst, '|')) AS place FROM e")
 def match_orderby(spark, sf):
-    """The order as a column: rows are ranked by range, not by a window over all of them."""
+    """The order as a column: the ordered rows are numbered by range, not by a window over all of them."""
     graph = tables.purchase_succession(spark, sf)
     found = match.exact(graph, parse("--vertex a b --edge x:a:b"), distinct=True)
-    full = results.with_properties(found, graph, ["a.score", "b.score"])
-    keyed = full.select("v_a", "v_b", (-F.col("`a.score`").cast("int")).alias("ka"), (-F.col("`b.score`").cast("int")).alias("kb"))
-    return with_rank(keyed, "ka", "kb", "v_a", "v_b").select("v_a", "v_b", (F.col("rank") + 1).alias("place"))
-
-
-@_query("""SELECT x.src AS v_a, x.dst AS v_b, 1::BIGINT AS hops FROM o x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst WHERE a.label = 'cyan' AND b.label = 'white'
-UNION ALL SELECT x.src, y.dst, 2 FROM o x JOIN o y ON x.dst = y.src AND y.dst <> x.src JOIN v a ON a.id = x.src JOIN v b ON b.id = y.dst WHERE a.label = 'cyan' AND b.label = 'white'""", _USERS + ", o AS (SELECT src, dst FROM adj WHERE mult > 1)\n")
-def match_path_edge(spark, sf):
-    """Paths of up to two edges, as its SQL has it; match_path_edge_whole has three too."""
-    query = parse("--vertex a b --path p:a:b --vertexlabel a:cyan b:white --edgelabel p:often")
-    rows = match.bindings(tables.purchase_succession(spark, sf), query, max_path_edges=2)
-    return rows.select("v_a", "v_b", (F.size("p_p") + 1).cast("long").alias("hops"))
+    order = results.ordered(found, graph, ["a.score", "b.score"], True).select("v_a", "v_b", F.monotonically_increasing_id().alias("at"))
+    return with_rank(order, "at").select("v_a", "v_b", (F.col("rank") + 1).alias("place"))
 
 
 @_query("""SELECT x.src AS v_a, x.dst AS v_b, 1::BIGINT AS hops FROM adj x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst WHERE a.label = 'cyan' AND b.label = 'white'
 UNION ALL SELECT x.src, y.dst, 2 FROM adj x JOIN adj y ON x.dst = y.src AND y.dst <> x.src JOIN v a ON a.id = x.src JOIN v b ON b.id = y.dst WHERE a.label = 'cyan' AND b.label = 'white'
 UNION ALL SELECT x.src, z.dst, 3 FROM adj x JOIN adj y ON x.dst = y.src AND y.dst <> x.src JOIN adj z ON y.dst = z.src AND z.dst <> x.src AND z.dst <> x.dst
 JOIN v a ON a.id = x.src JOIN v b ON b.id = z.dst WHERE a.label = 'cyan' AND b.label = 'white'""")
-def match_path_edge_whole(spark, sf):
+def match_path_edge(spark, sf):
     query = parse("--vertex a b --path p:a:b --vertexlabel a:cyan b:white")
     rows = match.bindings(tables.purchase_succession(spark, sf), query)
     return rows.select("v_a", "v_b", (F.size("p_p") + 1).cast("long").alias("hops"))
@@ -225,17 +215,8 @@ def triangle_count(spark, sf):
 _REACH = ", reach(id, component) AS (SELECT id, id FROM v UNION SELECT adj.dst, reach.component FROM reach JOIN adj ON adj.src = reach.id) SELECT id, min(component) AS component FROM reach GROUP BY id"
 
 
-@_query(_REACH, _USERS.replace("AS (SELECT src, dst, add, mult FROM e UNION", "AS (SELECT src, dst, add, mult FROM e WHERE add % 7 = 0 UNION").replace("SELECT dst, src, add, mult FROM e)", "SELECT dst, src, add, mult FROM e WHERE add % 7 = 0)"), recursive=True)
-def components(spark, sf):
-    """Over every seventh day's edges, as its SQL has it; components_whole has all of them."""
-    graph = tables.purchase_succession(spark, sf)
-    from dataclasses import replace
-
-    return metrics.components(replace(graph, edges=graph.edges.filter("add % 7 = 0")))
-
-
 @_query(_REACH, recursive=True)
-def components_whole(spark, sf):
+def components(spark, sf):
     return metrics.components(tables.purchase_succession(spark, sf))
 
 
@@ -292,21 +273,9 @@ def new_triangles(spark, sf):
     return results.distinct(found).select(*[F.col("vertices")[i].alias(f"v_{s}") for i, s in enumerate("abc")])
 
 
-@_query(""", s AS (SELECT DISTINCT add FROM e ORDER BY add DESC LIMIT 3), prior AS (SELECT src, dst FROM e WHERE add NOT IN (SELECT add FROM s)),
-steps AS (SELECT greatest(x.add, y.add, z.add) AS step FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)
-SELECT s.add AS step, (SELECT count(*) FROM e WHERE e.add = s.add) AS edges, (SELECT count(*) FROM steps WHERE step = s.add) AS new, (SELECT count(*) FROM steps WHERE step <= s.add) AS total FROM s""")
-def incremental_replay(spark, sf):
-    """The last three steps, one after the other, as its SQL has it; incremental_replay_whole takes all steps."""
-    graph = tables.purchase_succession(spark, sf)
-    steps = incremental.step_list(graph)
-    for matcher, _ in incremental.replay(graph, parse(TRIANGLE), len(steps) - 3, 3):
-        pass
-    return matcher.report().select("step", "edges", "new", "total")
-
-
 @_query(""", steps AS (SELECT greatest(x.add, y.add, z.add) AS step FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)
 SELECT s.add AS step, (SELECT count(*) FROM e WHERE e.add = s.add) AS edges, (SELECT count(*) FROM steps WHERE step = s.add) AS new, (SELECT count(*) FROM steps WHERE step <= s.add) AS total FROM (SELECT DISTINCT add FROM e) s""")
-def incremental_replay_whole(spark, sf):
+def incremental_replay(spark, sf):
     """Every step from the first, one after the other."""
     graph = tables.purchase_succession(spark, sf)
     for matcher, _ in incremental.replay(graph, parse(TRIANGLE), 0, len(incremental.step_list(graph))):
@@ -314,22 +283,9 @@ def incremental_replay_whole(spark, sf):
     return matcher.report().select("step", "edges", "new", "total")
 
 
-@_query(""", h0 AS (SELECT id FROM v WHERE id < 5), h1 AS (SELECT DISTINCT dst AS id FROM adj JOIN h0 ON h0.id = src WHERE mult > 1),
-h2 AS (SELECT DISTINCT dst AS id FROM adj JOIN h1 ON h1.id = src WHERE mult > 1)
-SELECT id, min(d)::BIGINT AS distance FROM (SELECT id, 0 AS d FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""")
-def halo(spark, sf):
-    """Around a few users over some of the edges, as its SQL has it; halo_whole takes a partition of the whole graph."""
-    graph = tables.purchase_succession(spark, sf)
-    from dataclasses import replace
-
-    often = replace(graph, edges=graph.edges.filter("label = 'often'"))
-    members = graph.vertices.filter("id < 5").select(F.lit(0).alias("part"), "id")
-    return partition.halo(often, members, 2).select("id", F.col("distance").cast("long").alias("distance"))
-
-
 @_query(""", h0 AS (SELECT id % 4 AS part, id FROM v), h1 AS (SELECT DISTINCT part, dst AS id FROM adj JOIN h0 ON h0.id = src), h2 AS (SELECT DISTINCT part, dst AS id FROM adj JOIN h1 ON h1.id = src)
 SELECT part, id, min(d)::BIGINT AS distance FROM (SELECT part, id, 0 AS d FROM h0 UNION ALL SELECT part, id, 1 FROM h1 UNION ALL SELECT part, id, 2 FROM h2) GROUP BY 1, 2""")
-def halo_whole(spark, sf):
+def halo(spark, sf):
     graph = tables.purchase_succession(spark, sf)
     members = graph.vertices.select(F.pmod("id", F.lit(4)).alias("part"), "id")
     return partition.halo(graph, members, 2).select("part", "id", F.col("distance").cast("long").alias("distance"))
@@ -355,59 +311,31 @@ def ranked_destinations(spark, sf):
     return walk.ranked(found.withColumn("p", F.round("p", 9))).select("src", "dst", F.col("rank").cast("long").alias("rank"))
 
 
-_THIN = _NATIONS.replace("c_nationkey <> s_nationkey", "c_nationkey <> s_nationkey AND (c_nationkey * 5 + s_nationkey * 3) % 7 = 0")
-
-
-def _thin_trade(spark, sf):
-    from dataclasses import replace
-
-    graph = tables.nation_trade(spark, sf)
-    return replace(graph, edges=graph.edges.filter("(src * 5 + dst * 3) % 7 = 0"))
-
-
 _BEST_PATHS = _walk_sql(7) + """, two AS (SELECT a.src, b.dst, a.dst AS via, row_number() OVER (PARTITION BY a.src, b.dst ORDER BY round(p.p, 9) DESC, a.dst) AS n
 FROM e a JOIN e b ON b.src = a.dst AND b.dst <> a.src JOIN p7 p ON p.src = a.src AND p.dst = a.dst)
 SELECT src, dst, NULL::BIGINT AS via, 1::BIGINT AS hops FROM e
 UNION ALL SELECT src, dst, via, 2 FROM two WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = two.src AND e.dst = two.dst)"""
 
 
-def _best_paths(graph):
+@_query(_BEST_PATHS, _NATIONS)
+def best_paths(spark, sf):
+    graph = tables.nation_trade(spark, sf)
     p = materialise(walk.random_walk(graph, tolerance=0).withColumn("p", F.round("p", 9)), "walk")
     return paths.best_paths(graph, p).withColumn("hops", F.col("hops").cast("long"))
 
 
-@_query(_BEST_PATHS, _THIN)
-def best_paths(spark, sf):
-    """Over a seventh of the graph, as its SQL has it; best_paths_whole has all of it."""
-    return _best_paths(_thin_trade(spark, sf))
-
-
-@_query(_BEST_PATHS, _NATIONS)
-def best_paths_whole(spark, sf):
-    return _best_paths(tables.nation_trade(spark, sf))
-
-
 _EXPANSION = _walk_sql(7) + """, good AS (SELECT p.src AS v_a, p.dst AS v_b, ln(p.p + 1e-10) AS g FROM p7 p JOIN v ON v.id = p.dst WHERE p.src <> p.dst AND v.label = 'EUROPE')
 SELECT v_a, v_b FROM good QUALIFY g >= max(g) OVER (PARTITION BY v_a) - 1e-5"""
 
 
-def _expansion(graph):
+@_query(_EXPANSION, _NATIONS)
+def neighbour_expansion(spark, sf):
+    graph = tables.nation_trade(spark, sf)
     p = materialise(walk.random_walk(graph, tolerance=0), "walk")
     rows = graph.vertices.select(F.col("id").alias("v_a"))
     return match.expand(rows, "v_a", "v_b", p, graph.filter_vertices("EUROPE"), ["v_a"])
 
 
-@_query(_EXPANSION, _THIN)
-def neighbour_expansion(spark, sf):
-    """Over a seventh of the graph, as its SQL has it; neighbour_expansion_whole has all of it."""
-    return _expansion(_thin_trade(spark, sf))
-
-
-@_query(_EXPANSION, _NATIONS)
-def neighbour_expansion_whole(spark, sf):
-    return _expansion(tables.nation_trade(spark, sf))
-
-
 @_query("SELECT id, CASE WHEN first THEN 0 ELSE 1 END::BIGINT AS later FROM (SELECT id, id % 3 = 0 AS first FROM v)")
 def known_first(spark, sf):
     graph = tables.purchase_succession(spark, sf)
@@ -424,22 +352,54 @@ def result_difference(spark, sf):
     return results.difference(both, middle).select(F.substring_index("canon_key", "|", 1).alias("canon"), "side")
 
 
-@_query()
+def _walked(graph) -> DataFrame:
+    """The walk after a fixed number of steps, as _walk_sql() has it."""
+    return materialise(walk.random_walk(graph, tolerance=0), "walk")
+
+
+_CANON = "array_to_string(list_sort(list_distinct({v})), ',') || '|' || array_to_string(list_transform(list_sort({e}), lambda x: x.s || '-' || x.d || '-'), ',')"
+_GREEDY = _walk_sql(7) + """,
+x AS (SELECT src AS a, dst AS b FROM p7 WHERE src <> dst QUALIFY ln(p + 1e-10) >= max(ln(p + 1e-10)) OVER (PARTITION BY src) - 1e-5),
+z AS (SELECT x.a, x.b, p.src AS c FROM x JOIN e ON e.src = a AND e.dst = b JOIN p7 p ON p.dst = a WHERE p.src <> a AND p.src <> b QUALIFY ln(p.p + 1e-10) >= max(ln(p.p + 1e-10)) OVER (PARTITION BY a, b) - 1e-5),
+m AS (SELECT a, b, c, """ + _CANON.format(v="[a, b, c]", e="[{'s': a, 'd': b}, {'s': c, 'd': a}, {'s': b, 'd': c}]") + """ AS canon_key FROM z JOIN e q ON q.src = c AND q.dst = a JOIN e r ON r.src = b AND r.dst = c)
+SELECT a AS v_a, b AS v_b, c AS v_c, canon_key FROM m QUALIFY row_number() OVER (PARTITION BY canon_key ORDER BY a, b, c) = 1"""
+
+
+@_query(_GREEDY, _NATIONS)
 def greedy_triangles(spark, sf):
     graph = tables.nation_trade(spark, sf)
-    return match.find(graph, parse(TRIANGLE + " --directed"), "greedy").select("v_a", "v_b", "v_c", "canon_key")
+    found = match.find(graph, parse(TRIANGLE + " --directed"), "greedy", walk=_walked(graph))
+    return found.select("v_a", "v_b", "v_c", "canon_key")
 
 
-@_query()
+_APPROXIMATE = _walk_sql(7) + """, two AS (SELECT a.src, b.dst, a.dst AS via FROM e a JOIN e b ON b.src = a.dst AND b.dst <> a.src JOIN p7 p ON p.src = a.src AND p.dst = a.dst
+  QUALIFY row_number() OVER (PARTITION BY a.src, b.dst ORDER BY p.p DESC, a.dst) = 1),
+way AS (SELECT src, dst, [{'s': src, 'd': dst}] AS hops, [src, dst] AS seen FROM e UNION ALL
+  SELECT src, dst, [{'s': src, 'd': via}, {'s': via, 'd': dst}], [src, via, dst] FROM two WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = two.src AND e.dst = two.dst)),
+x AS (SELECT p.src AS a, p.dst AS b FROM p7 p JOIN v f ON f.id = p.src JOIN v t ON t.id = p.dst WHERE p.src <> p.dst AND f.label = 'ASIA' AND t.label = 'EUROPE'
+  QUALIFY ln(p.p + 1e-10) >= max(ln(p.p + 1e-10)) OVER (PARTITION BY p.src) - 1e-5),
+xy AS (SELECT a, b, hops, seen FROM x JOIN way ON way.src = a AND way.dst = b),
+y AS (SELECT a, b, hops, seen, p.dst AS c FROM xy JOIN p7 p ON p.src = b WHERE NOT list_contains(seen, p.dst) QUALIFY ln(p.p + 1e-10) >= max(ln(p.p + 1e-10)) OVER (PARTITION BY a, b, hops, seen) - 1e-5),
+m AS (SELECT a, b, c, y.hops || way.hops AS hops, list_distinct(y.seen || way.seen) AS seen FROM y JOIN way ON way.src = b AND way.dst = c),
+k AS (SELECT a, b, c, len(hops) = 2 AND len(seen) = 3 AS exact, """ + _CANON.format(v="seen", e="hops") + """ AS canon_key FROM m)
+SELECT a AS v_a, b AS v_b, c AS v_c, exact, canon_key FROM k QUALIFY row_number() OVER (PARTITION BY canon_key ORDER BY a, b, c) = 1"""
+
+
+@_query(_APPROXIMATE, _NATIONS)
 def approximate_matches(spark, sf):
     graph = tables.nation_trade(spark, sf)
-    return match.find(graph, parse("--vertex a b c --edge x:a:b y:b:c --directed --vertexlabel a:ASIA b:EUROPE"), "approx").select("v_a", "v_b", "v_c", "exact", "canon_key")
+    found = match.find(graph, parse("--vertex a b c --edge x:a:b y:b:c --directed --vertexlabel a:ASIA b:EUROPE"), "approx", walk=_walked(graph))
+    return found.select("v_a", "v_b", "v_c", "exact", "canon_key")
 
 
-@_query()
+# In the query's own triangle, a walk from b stands at a after two steps, or five, since it last started over.
+@_query(_walk_sql(7) + """, g AS (SELECT a.id, count(p.p) AS n, coalesce(sum(ln(p.p + 1e-10)), 0) AS s FROM v a LEFT JOIN (SELECT p.* FROM p7 p JOIN v b ON b.id = p.src WHERE b.label = 'EUROPE') p ON p.dst = a.id
+  WHERE a.label = 'ASIA' GROUP BY a.id),
+k AS (SELECT id, (s + ((SELECT count(*) FROM v WHERE label = 'EUROPE') - n) * ln(1e-10)) / (0.7 * 0.3 ** 2 + 0.7 * 0.3 ** 5) AS goodness FROM g)
+SELECT id, round(goodness, 6) AS goodness FROM k QUALIFY goodness >= max(goodness) OVER () - 1e-5""", _NATIONS)
 def ranked_seeds(spark, sf):
     graph = tables.nation_trade(spark, sf)
-    return match.rank_seeds(graph, parse(TRIANGLE + " --directed --vertexlabel a:ASIA b:EUROPE"), materialise(walk.random_walk(graph), "walk"))
+    return match.rank_seeds(graph, parse(TRIANGLE + " --directed --vertexlabel a:ASIA b:EUROPE"), _walked(graph)).select("id", F.round("goodness", 6).alias("goodness"))
 
 
 @_query()
@@ -447,11 +407,22 @@ def communities(spark, sf):
     return community.recursive_communities(tables.purchase_succession(spark, sf), 40)
 
 
-@_query()
+_BLOCKS = ", c AS (SELECT id, id // 40 AS community FROM v), hit AS (SELECT DISTINCT community FROM c WHERE id IN (SELECT src FROM adj WHERE add = 0))"
+
+
+def _blocks(graph) -> tuple[DataFrame, DataFrame]:
+    """Communities that are given (by number), and the ends of the first step's edges."""
+    return graph.vertices.select("id", F.floor(F.col("id") / 40).alias("community")), graph.edges.filter("add = 0").select(F.explode(F.array("src", "dst")).alias("id"))
+
+
+@_query(_BLOCKS + " SELECT id FROM c WHERE community IN (SELECT community FROM hit)")
 def affected_vertices(spark, sf):
-    graph = tables.purchase_succession(spark, sf)
-    parts = materialise(community.recursive_communities(graph, 40), "communities")
-    return community.affected(parts, graph.edges.filter("add = 0").select(F.explode(F.array("src", "dst")).alias("id")))
+    return community.affected(*_blocks(tables.purchase_succession(spark, sf)))
+
+
+@_query(_BLOCKS + " SELECT (SELECT count(*) FROM hit) AS affected, (SELECT count(DISTINCT community) FROM c) AS total")
+def affected_communities(spark, sf):
+    return community.affected_counts(*_blocks(tables.purchase_succession(spark, sf)))
 
 
 @_query()

@@ -14,7 +14,7 @@ _NODE_LINK = "directed boolean, multigraph boolean, nodes array<map<string, stri
 
 
 def _numbered(edges: DataFrame, directed: bool) -> DataFrame:
-    """Parallel edges without a key get 0, 1, ... within their pair, in the order of label and step."""
+    """Parallel edges without a key get 0, 1, ... within their pair, in the order that they come in."""
     a, b = ("src", "dst") if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
     n = F.row_number().over(Window.partitionBy(a, b).orderBy("at")) - 1
     return edges.withColumn("key", F.coalesce("key", n.cast("int")))
@@ -95,8 +95,14 @@ def _graph(edges: DataFrame, label: str, edge_label: str, multi: bool) -> Proper
 
 
 def _lines(spark: SparkSession, path: str, names: str, **options) -> DataFrame:
-    """Rows of a text file with `at`, which is their order in it."""
-    return spark.read.schema(names).options(**options).csv(path).withColumn("at", F.monotonically_increasing_id())
+    """Rows of a text file with `at`, which is their order in it; files of a folder come in the order of their names.
+
+    Splits are read in any order, so the order is by file, place of the split in it, and row of the split.
+    """
+    split, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    order = F.concat_ws("\u0000", "_metadata.file_path", *[F.lpad(x.cast("string"), 20, "0") for x in (split, row)])
+    raw = spark.read.schema(names).options(**options).csv(path)
+    return raw.select(*raw.columns, order.alias("at"))
 
 
 def read_edge_list(spark: SparkSession, path: str, each: int, label: str = "cyan", edge_label: str = "yes") -> PropertyGraph:

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is named (tests on one machine), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where none is named, a temporary one, but only if all runs in one process (local[...])."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="thornweave-"))
     return _own[0]
@@ -42,6 +46,15 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, -(-rows // ROWS_A_FILE)))
 
 
+#: Narrow rows up to which a table is broadcast.
+FEW_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int, limit: int = FEW_ROWS) -> DataFrame:
+    """df with a hint to broadcast it if it has few rows; else the join shuffles."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of fresh_path() that nothing will read again."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
