@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, gathered, in_arrow, materialise, remove, shared_folder  # noqa: F401
+from ..storage import fresh_path, gathered, in_arrow, materialise, remove, shared_folder, small  # noqa: F401
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """df with a hint to broadcast it if it has few rows; else the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")

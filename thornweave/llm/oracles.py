@@ -64,3 +64,42 @@ shared AS (SELECT doc_id, item_id, start, any_value(a) AS a, any_value(b) AS b,
 SELECT doc_id, item_id, start::BIGINT AS start, round(s / (a + b - s), 6) AS similarity FROM shared
 WHERE s / (a + b - s) >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s / (a + b - s) DESC, start) = 1
 """
+
+URLS = r"""
+WITH RECURSIVE cut AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, lower(rest) AS low FROM cut),
+told AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parted
+),
+page AS (
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+    CASE WHEN host = '' THEN [] ELSE list_distinct(
+      list_transform(list_filter(string_split(regexp_extract(low, '^[^/?#]*'), '.'), lambda x: x <> ''), lambda x: 'host:' || x)
+      || list_transform(list_filter(regexp_split_to_array(regexp_extract(low, '^[^/?#]*([^?#]*)', 1), '[/._-]'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '0', 'g'))
+      || list_transform(list_filter(string_split(regexp_extract(low, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query:' || regexp_replace(regexp_extract(x, '^[^=]*'), '[0-9]+', '0', 'g'))
+      || CASE WHEN contains(low, '#') THEN ['fragment:'] ELSE [] END) END AS held FROM told
+),
+marks AS (SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
+known AS (SELECT row_number() OVER () AS k, held, coalesce(said = 'block', bad) AS bad FROM page LEFT JOIN marks ON doc_id = page_id WHERE len(held) > 0 AND coalesce(said = 'block', bad) IS NOT NULL),
+least AS (SELECT ceil(greatest(0.002 * count(*), 20) - 1e-6) AS n FROM known),
+token AS (
+  SELECT token, list(k) AS ks, list(k) FILTER (WHERE bad) AS bad FROM (SELECT k, bad, unnest(held) AS token FROM known) GROUP BY 1 HAVING count(*) FILTER (WHERE bad) >= (SELECT n FROM least)
+),
+open_ AS (SELECT * FROM token WHERE len(bad) / len(ks) < 0.6),
+sets AS (
+  SELECT [token] AS s, token AS last, ks, bad FROM open_
+  UNION ALL
+  SELECT list_append(s, t.token), t.token, list_intersect(x.ks, t.ks), list_intersect(x.bad, t.bad) FROM sets x JOIN open_ t ON t.token > x.last
+  WHERE len(list_intersect(x.bad, t.bad)) >= (SELECT n FROM least) AND len(x.bad) / len(x.ks) < 0.6
+),
+rules AS (SELECT s, len(bad) / len(ks) AS confidence FROM sets WHERE len(bad) / len(ks) >= 0.6 UNION ALL SELECT [token], len(bad) / len(ks) FROM token WHERE len(bad) / len(ks) >= 0.6),
+fewest AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules x WHERE len(x.s) < len(r.s) AND list_has_all(r.s, x.s))),
+met AS (SELECT DISTINCT held, array_to_string(s, ' ') AS mined, confidence FROM (SELECT DISTINCT held FROM page) JOIN fewest ON list_has_all(held, s)),
+best AS (SELECT held, mined FROM met QUALIFY row_number() OVER (PARTITION BY held ORDER BY confidence DESC, mined) = 1)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN mined IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN mined END AS mined
+FROM page LEFT JOIN best USING (held)
+"""

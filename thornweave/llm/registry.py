@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": oracles.SUBSTRING,
     "op2_decontaminate": oracles.DECONTAMINATE,
+    "op3_urls": oracles.URLS,
     "op5_quality": oracles.QUALITY,
     "op6_mixing": mixing.ORACLE,
 }

@@ -1,8 +1,9 @@
 """URL filters: listed rules first, then rules mined from labels.
 
-A url is cut into tokens (labels of its host, parts of its path, names in its query). From labelled pages, FP-growth finds
-sets of tokens that often stand together with a bad label; sets with enough support and confidence become rules.
-A rule is kept in an inverted index under its rarest token, so a url meets only rules whose rarest token it holds,
+A url is cut into tokens (labels of its host, parts of its path, names in its query). A page is labelled by the listed rule
+that speaks on it, and where none does, by `labels`. From labelled pages, FP-growth finds sets of tokens that often
+stand together with a bad label; sets with enough support and confidence become rules, unless a smaller one is within
+them. Tokens that are a rule by themselves are therefore taken out of the pages before sets are grown. A rule is kept in an inverted index under its rarest token, so a url meets only rules whose rarest token it holds,
 and then has to hold the others as well.
 """
 
@@ -14,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small, table
 
 #: Fixed values. Host, start of the path, verdict.
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -31,7 +32,7 @@ class Mining:
     confidence: float = 0.6
     #: Tokens of a rule at most; None for any number. A longer set can pass where each set within it failed.
     tokens: int | None = None
-    #: Rules up to so many are broadcast; more are joined by a shuffle.
+    #: Rules, and urls that meet one, up to so many are broadcast; more are joined by a shuffle.
     few_rules: int = 20_000
 
 
@@ -70,31 +71,44 @@ def tokens(url: Column) -> Column:
     return F.when(host(low) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(labels, parts, names, mark)))
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """tokens, confidence, support: sets of tokens that tell bad pages, without those that hold a smaller set which does.
+def labelled(pages: DataFrame, labels: DataFrame, rules=LISTED) -> DataFrame:
+    """items, bad: the tokens of each page whose label is known.
 
-    A page's label is the row of labels whose doc_id is its page_id; quality 0 or toxic 1 is bad, a row with both
-    null says nothing. Of several rows for one page, one bad one makes it bad. Every labelled page is used.
+    Where a listed rule speaks, a page is bad if it is blocked. Else its label is the row of labels whose doc_id is its
+    page_id; quality 0 or toxic 1 is bad, a row with both null says nothing. Of several rows for one page, one bad one
+    makes it bad. Every labelled page is used, repeated rows each.
     """
-    spark = pages.sparkSession
-    bad = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.max(F.expr("(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)")).alias("bad"))
-    known = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select(tokens(F.col("url")).alias("items"), "bad").filter(F.size("items") > 0)
-    baskets = known.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
-    n = baskets.count()
-    empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    marks = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.max(F.expr("(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)")).alias("marked"))
+    _, verdict = listed(host(F.col("url")), path(F.col("url")), rules)
+    own = pages.select("page_id", tokens(F.col("url")).alias("items"), (verdict == "block").alias("listed")).filter(F.size("items") > 0)
+    return own.join(marks, F.col("page_id") == F.col("doc_id"), "left").select("items", F.coalesce("listed", "marked").alias("bad")).filter("bad IS NOT NULL")
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining(), rules=LISTED) -> DataFrame:
+    """tokens, confidence, support: sets of tokens that tell bad pages, without those that hold a smaller set which does."""
+    known = materialise(labelled(pages, labels, rules), "labelled-pages")
+    n = known.count()
     if n < mining.least_pages:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(mining.support, mining.least_pages / n), minConfidence=mining.confidence).fit(baskets)
-    found = model.associationRules.filter(F.element_at("consequent", 1) == _BAD)
+        return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
+    least = max(mining.support, mining.least_pages / n) * (1 - 1e-12)  # so that no rounding asks for one page more
+    share = F.avg(F.col("bad").cast("double")).alias("confidence")
+    single = known.select(F.explode("items").alias("token"), "bad").groupBy("token").agg(share, (F.sum(F.col("bad").cast("double")) / n).alias("support"))
+    single = materialise(single.filter((F.col("confidence") >= mining.confidence) & (F.col("support") >= least)), "url-tokens")
+    taken = single.agg(F.collect_list("token").alias("taken"))  # one row; each token has its share of the pages, so they are few
+    rest = known.crossJoin(F.broadcast(taken)).select(F.array_except("items", "taken").alias("items"), "bad")
+    baskets = rest.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=mining.confidence).fit(baskets)
+    found = model.associationRules.filter(F.element_at("consequent", 1) == _BAD).filter(F.size("antecedent") > 0)
     if mining.tokens is not None:
         found = found.filter(F.size("antecedent") <= mining.tokens)
-    rules = materialise(found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "mined-rules")
+    sets = found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    every = materialise(sets.union(single.select(F.array("token"), "confidence", "support")), "mined-rules")
     # A smaller rule meets a larger one that holds it under its own token that the fewest rules have.
-    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    each = every.select("tokens", F.explode("tokens").alias("token"))
     rare = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token")).withColumnRenamed("tokens", "part")
     met = each.join(rare, "token").filter(F.size("part") < F.size("tokens"))
     covered = met.filter(F.size(F.array_intersect("part", "tokens")) == F.size("part")).select("tokens").distinct()
-    return rules.join(covered, "tokens", "left_anti")
+    return every.join(covered, "tokens", "left_anti")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=LISTED, mining: Mining = Mining()) -> DataFrame:
@@ -103,9 +117,9 @@ def judged(pages: DataFrame, labels: DataFrame, rules=LISTED, mining: Mining = M
     rule and verdict are those of the longest listed rule that fits. Where none does, rule is null, and the verdict is
     block if the url holds all tokens of a mined rule, else allow; mined has the tokens of such a rule (the most confident one,
     of equal ones the first in order of tokens). A null url, or one without ://, has an empty host and path and no
-    tokens, and is allowed. Without labels nothing is mined. Repeated rows are all returned.
+    tokens, and is allowed. Where fewer than least_pages pages are labelled nothing is mined. Repeated rows are all returned.
     """
-    found = materialise(mined_rules(pages, labels, mining), "url-rules")
+    found = materialise(mined_rules(pages, labels, mining, rules), "url-rules")
     n = found.count()
     own = pages.select("page_id", "url")
     urls = own.select("url").distinct().select("url", tokens(F.col("url")).alias("held"))
@@ -115,8 +129,11 @@ def judged(pages: DataFrame, labels: DataFrame, rules=LISTED, mining: Mining = M
         index = spread.groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
         index = F.broadcast(index) if n <= mining.few_rules else index
         met = urls.select("url", "held", F.explode("held").alias("token")).join(index, "token").filter(F.size(F.array_intersect("tokens", "held")) == F.size("tokens"))
-        best = met.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.array_join("tokens", " ").alias("t"))).alias("best")).select("url", F.col("best.t").alias("mined"))
-        own = own.join(best, "url", "left")
+        best = met.groupBy(F.col("url").alias("of_url")).agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.array_join("tokens", " ").alias("t"))).alias("best")).select("of_url", F.col("best.t").alias("mined"))
+        best = materialise(best, "mined-verdicts")
+        # A url without tokens meets nothing, so such rows are dealt out by their number.
+        key = F.when(host(F.col("url")) == "", F.col("page_id").cast("string")).otherwise(F.col("url"))
+        own = own.join(small(best, best.count(), mining.few_rules), key == F.col("of_url"), "left").drop("of_url")
     else:
         own = own.withColumn("mined", F.lit(None).cast("string"))
     named = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "mined")
