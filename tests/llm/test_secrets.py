@@ -69,6 +69,55 @@ def test_random_strings_and_allow_list():
     assert spans('token = "zX81kQp0Lm93VbN7tR2sYw6A"') == []  # a known form has it already
 
 
+def brute_spans(text):
+    """All spans by their definitions: Shannon's entropy of each window from a count of its own, no window from the one before."""
+    base = brute_base(text)
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+        run = m.group()
+        if len(run) < 24 or any(re.fullmatch(a, run, re.ASCII) for a in secrets.ALLOWED) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+            continue
+        w, least = (24, 3.0) if re.fullmatch("[0-9a-fA-F]+", run) else (24, 3.9) if re.fullmatch("[A-Za-z0-9]+", run) else (28, 4.1)
+        cover = set()
+        for i in range(len(run) - w + 1):
+            shares = [c / w for c in Counter(run[i : i + w]).values()]
+            if -sum(p * math.log2(p) for p in shares) >= least - 1e-9:
+                cover.update(range(i, i + w))
+        for i in sorted(cover):
+            if i - 1 not in cover:
+                end = next(j for j in range(i, len(run) + 1) if j not in cover)
+                if re.search("[0-9]", run[i:end]) and re.search("[A-Za-z]", run[i:end]) and not any(a <= m.start() + i and m.start() + end <= b for _, a, b in base):
+                    found.append(("entropy", m.start() + i, m.start() + end))
+    return sorted(base + found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_all_spans(spark, sf):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    made = []
+    for _ in range(400):
+        parts = [rng.choice([key(rng.randrange(10, 70)), key(40, letters + "+/_-"), key(32, "0123456789ABCDEF"), "token=" + key(30), "a" * 30 + key(24), "word " * 3, "sha256-" + key(43), key(30) + "example", "x" * 40 + "1"]) for _ in range(6)]
+        made.append(rng.choice([" ", "; ", "\n"]).join(parts))
+    scanner = secrets.Scanner(secrets.Rules())
+    found = 0
+    for t in TEXTS + made + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]:
+        got = [(secrets.KINDS[k], a, b) for a, k, b in scanner.scan(t or "")]
+        assert got == brute_spans(t)
+        found += sum(k == "entropy" for k, _, _ in got)
+    assert found > 500
+
+
+def test_many_spans():
+    """Time doesn't grow with the square of the spans."""
+    import time
+
+    rng = random.Random(1)
+    text = " ".join(f"{rng.getrandbits(128):032x} " + "".join(rng.choice("ABCDEFGHIJabcdefghij0123456789") for _ in range(30)) for _ in range(30_000))
+    began = time.time()
+    assert len(secrets.Scanner(secrets.Rules()).scan(text)) > 50_000 and time.time() - began < 40
+
+
 def test_rows(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], None), (3, TEXTS[3], "x"), (3, TEXTS[3], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")

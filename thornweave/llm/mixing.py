@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: A mean above this is drawn as a sum of equal parts, each from a distribution of its own: no table of the
 #: distribution is long, and none of its entries underflows.
@@ -58,11 +58,13 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, total:
     weights: target share of each source, in any unit; sources without one get none. Without weights a source's share is
     its number of documents to `power`. total: documents that the result is to have on average, by default as
     many as docs. A null source is a source of its own; a row with a null doc_id is drawn by its text; null or empty
-    texts are rows like any other. Repeated rows are drawn alike. Columns of docs named copy, mix_key or rate are
+    texts are rows like any other. Repeated rows are drawn alike, and so are rows that share a doc_id; the order among rows
+    with the same mix_key is not defined. Columns of docs named copy, mix_key or rate are
     replaced. An empty table, and weights that fit no source, give an empty result.
     """
     own = [c for c in docs.columns if c not in ("copy", "mix_key", "rate")]
     table_ = rates(docs.select("source"), weights, total, power)
+    table_ = materialise(table_, "rates")  # a row for each source, looked at more than once
     found = table_.count()
     named = table_.withColumnRenamed("source", "of_source")
     if found <= FEW_SOURCES:

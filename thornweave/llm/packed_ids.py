@@ -12,7 +12,8 @@ A shard, all integers little-endian:
     doc_id of each document (signed 64-bit), then one byte each: 1 where it is null
     the blocks: id k of a block lies in bits k * bits ... of it, least significant first; each ends on a whole byte
 
-Shards are written under a name of the attempt's own and then renamed, so a task that ran twice leaves one whole file.
+Each attempt of a task writes its shards under names of its own, and only those of the attempt that Spark takes are listed; no file is
+ever renamed or written twice, which holds for any store. What a lost attempt has left in the folder is in no list.
 """
 
 from __future__ import annotations
@@ -138,14 +139,12 @@ class Shard:
 def _save(shard: ShardWriter, folder: str, part: int, number: int) -> pa.RecordBatch:
     from pyarrow import fs
 
-    path = f"{folder}/shard-{part:06d}-{number:06d}.ids"
+    path = f"{folder}/shard-{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
     store, name = fs.FileSystem.from_uri(path)
     store.create_dir(name.rpartition("/")[0])
-    own = f"{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as f:
+    with store.open_output_stream(name) as f:
         for x in shard.parts():
             f.write(x)
-    store.move(own, name)
     return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": path, "n_docs": len(shard.doc_ids), "n_ids": shard.n_ids}], _MANIFEST)
 
 
@@ -183,7 +182,9 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     """Writes docs (doc_id, text) to a shared folder and returns the shards in order: path, start, n_docs, n_ids.
 
     Documents lie in ascending doc_id order, null first, repeated rows one after another; without by_id they stay in the
-    order and the partitions that docs has. A null text is an empty one; every document ends with end_id. Only the list of shards comes to the driver: one entry for every shard_ids ids.
+    order and the partitions that docs has, which for a table read from files is the order of Spark's splits, not that in
+    which it was written. A null text is an empty one; every document ends with end_id. Only the list of shards comes
+    to the driver: one entry for every shard_ids ids. An empty table gives no shards.
     """
     from .tokenizer import Encoder
 
@@ -204,7 +205,8 @@ def read_packed(spark: SparkSession, shards: list[dict]) -> DataFrame:
     if not shards:
         return spark.createDataFrame([], _SHARD)
     listed = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long")
-    return listed.repartition(len(shards), "path").transform(in_arrow(_read, _SHARD))
+    dealt = listed.repartitionByRange(len(shards), "start")  # no two shards start at the same id, so each is a partition
+    return dealt.transform(in_arrow(_read, _SHARD))
 
 
 def token_output(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by_id: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ equal pseudonyms in every document, different values different ones, and no valu
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -214,13 +215,14 @@ class Pseudonyms:
                 continue
             for m in kind.pattern.finditer(text):
                 a, b = m.span()
-                if any(s < b and a < e for s, e, _ in taken):
+                k = bisect.bisect(taken, (a, b, ""))  # taken spans don't overlap, so only its neighbours can
+                if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
                     continue
                 if (new := kind.replace(m, step)) is not None:
-                    taken.append((a, b, new))
+                    taken.insert(k, (a, b, new))
                     counts[kind.name] += 1
         out, at = [], 0
-        for a, b, new in sorted(taken):
+        for a, b, new in taken:
             out += [text[at:a], new]
             at = b
         return "".join([*out, text[at:]]), counts
