@@ -125,3 +125,15 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted([tuple(r) for r in substring.query(spark, sf).collect()], key=str)
     assert got == [r[:4] for r in brute(rows, 20)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_contexts_of_one_phrase_in_one_task(spark, seed):
+    """Ten contexts before and ten after a phrase of half the window, all combinations, with the limits as they are."""
+    rng = random.Random(seed)
+    phrase = [f"p{i}" for i in range(10)]
+    left, right = ([[f"{x}{i}_{k}" for k in range(12)] for i in range(10)] for x in "lr")
+    rows = [(10 * i + j, " ".join(left[i] + phrase + right[j])) for i in range(10) for j in range(10)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    assert sorted([tuple(r) for r in substring.without_repeats(docs).collect()], key=str) == brute(rows, 20)

@@ -1,5 +1,7 @@
 """SQL for what SQL can express."""
 
+from .quality import BOILERPLATE
+
 SUBSTRING = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
@@ -35,7 +37,7 @@ stays AS (
     OR (line = upper(line) AND line <> lower(line) AND letters >= 20)
     OR (separators >= 3 AND separators * 100 >= n * 20)
     OR symbols * 100 > ink * 10
-    OR (n <= 30 AND regexp_matches(lower(line), '\b(?:javascript is disabled|enable javascript|enable cookies|we use cookies|uses cookies|cookie policy|accept all cookies|terms of use|terms of service|privacy policy|all rights reserved|lorem ipsum|skip to content|click here|sign in|log in|subscribe to our newsletter|share this|read more)'))
+    OR (n <= 30 AND regexp_matches(lower(line), '\b(?:@PHRASES@)'))
   ) GROUP BY doc_id
 ),
 dups AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM inked GROUP BY doc_id),
@@ -50,6 +52,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+QUALITY = QUALITY.replace("@PHRASES@", "|".join(BOILERPLATE).replace("'", "''"))
+
 DECONTAMINATE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),

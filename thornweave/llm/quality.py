@@ -19,7 +19,7 @@ ENDS = r"[.!?…。！？]"
 #: Fixed values. What stands between the entries of a navigation line.
 SEPARATORS = r"[|›»•·]|\x20>\x20"
 OTHER_SEPARATORS = r"[›»•·]"
-#: Fixed values. Phrases of page furniture, looked for in lower case.
+#: Fixed values. Phrases of page furniture in English, German, French and Spanish, looked for in lower case.
 BOILERPLATE = (
     "javascript is disabled",
     "enable javascript",
@@ -40,6 +40,29 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "share this",
     "read more",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "weiterlesen",
+    "wir verwenden cookies",
+    "zum inhalt springen",
+    "accepter les cookies",
+    "aller au contenu",
+    "conditions d'utilisation",
+    "lire la suite",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar cookies",
+    "condiciones de uso",
+    "iniciar sesión",
+    "leer más",
+    "política de privacidad",
+    "saltar al contenido",
+    "todos los derechos reservados",
+    "utilizamos cookies",
 )
 _PHRASES = r"\b(?:" + "|".join(BOILERPLATE) + ")"
 

@@ -6,17 +6,18 @@ extend: any longer repeat is a run of such windows, so they decide about every w
 
 Level one doesn't move every position. Of the short windows within each long one, the one with the least hash is its
 anchor; equal long windows have equal anchors, and neighbours mostly share one, so about one position in six is an
-anchor. All long windows with the same anchor form a segment. Anchors meet by hash:
+anchor. Anchors meet by the hash of their short window. One that no other place has is dropped: no long window around it is
+repeated. One that is repeated is extended to the long windows around it, in one of two ways:
 
-- an anchor that no other place has is dropped: none of its long windows is repeated;
-- of equal segments, the earliest stays and the others' words are removed, whole;
-- where different segments share an anchor, the earliest of each is extended: its long windows meet by hash at level two,
-  and all but the earliest of each are removed.
+- all its long windows at once: they form a segment, whose hash covers them and travels with the anchor, so that the double
+  length is compared in the same exchange. Of equal segments, the earliest stays and the others' words are removed, whole;
+- one by one: where segments of an anchor differ, some of their long windows may still be equal. The earliest of each
+  different segment goes on to level two, where its long windows meet by hash, and all but the earliest of each are removed.
 
 Each task first settles what it can among its own documents, so that what a group of copies or a common line sends to
-one key grows with the number of tasks, not of documents; and of keys that are crowded within a task, only two segments meet at
-level one (so that whoever else has the key is extended too), the others go on to level two at once. Rows of one key
-are then taken as a sorted stream, never held together.
+one key grows with the number of tasks, not of documents. Of keys that are crowded within a task, two different segments meet at
+level one, so that whoever else has the key is extended too, and those two as well; the others go on to level two at
+once. Rows of one key are then taken as a sorted stream, never held together.
 """
 
 from __future__ import annotations
