@@ -37,16 +37,21 @@ class Groups:
         return True
 
 
+    def stars(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Each member with the name of its set, but for that member itself."""
+        found = [(x, top) for x in self.above if (top := self.name(x)) != x]
+        for i in range(0, len(found), 50_000):
+            xs, tops = zip(*found[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(tops, pa.int64())], names=names)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a task as stars: each vertex with the least one that it reaches by them."""
     groups = Groups()
     for batch in batches:
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
             groups.join(u, v)
-    stars = [(u, top) for u in groups.above if (top := groups.name(u)) != u]
-    for i in range(0, len(stars), 50_000):
-        us, vs = zip(*stars[i : i + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    yield from groups.stars(["u", "v"])
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Narrow rows that are worth a file.
-ROWS_A_FILE = 50_000
+ROWS_A_FILE = 10_000
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
