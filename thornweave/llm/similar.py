@@ -131,17 +131,17 @@ def _candidates(prints: list[str], distance: int):
         groups = Groups()
         for keys, *columns in whole_keys(batches, ["key", *prints]):
             rows = np.stack([c.view(np.uint64) for c in columns], axis=1)
-            nodes, new = node_of(rows).tolist(), []
+            nodes = node_of(rows).tolist()
             for a, b in near_in_buckets(keys, rows, distance):
-                new += [(nodes[x], nodes[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True) if groups.join(nodes[x], nodes[y])]
-            src, dst = zip(*new, strict=True) if new else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    groups.join(nodes[x], nodes[y])
+        yield from groups.stars(["src", "dst"])  # the tasks that see a group mostly name it alike, so these links are few
 
     return run
 
 
 def candidate_links(texts: DataFrame, prints: list[str], segments: int, distance: int) -> DataFrame:
-    """(src, dst): nodes of texts, linked so that candidates hold together. A node that several texts have is linked to itself."""
+    """(src, dst): nodes of texts, each with one that it hangs together with, so that candidates hold together. A node that several texts have is linked to itself."""
     nodes = texts.groupBy("node").agg(*[F.first(p).alias(p) for p in prints], F.count("*").alias("n"))
     keys = []
     for t, p in enumerate(prints):
