@@ -41,3 +41,14 @@ def test_components(spark, monkeypatch, edges, together):
 
 def test_no_edges(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+@pytest.mark.parametrize("edges", list(cases()))
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.9])
+def test_updated(spark, edges, share):
+    """Components after more edges, from those before, are those of all edges; new ids may be smaller than known ones."""
+    cut = int(len(edges) * share)
+    old, new = ([tuple(e) for e in part] for part in (edges[:cut], [*edges[cut:], (-50, edges[0][0]), (9_000, 9_001)]))
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    rows = components.updated(components.connected_components(frame(old)), frame([*new, (None, 3)])).collect()
+    assert len(rows) == len({r.id for r in rows}) and {r.id: r.component for r in rows} == brute(old + new)

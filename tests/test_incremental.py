@@ -136,7 +136,11 @@ def test_environment(spark):
     assert env.threshold == max(1, info["threshold"] - 1)
     assert env.step(adaptive.HOLD)[2]
     env.rewind()
-    assert env.count == 0
+    assert env.count == 0 and env.seed(3) == [3]
+    assert env.render().startswith(f"step 0 of 2, threshold {env.threshold} of {env.most}, ") and "new patterns" in env.render()
+    env.close()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        env.matcher.matches.count()
 
 
 def test_command_line(spark, tmp_path):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ROWS_A_FILE, fresh_path, in_arrow, remove
+from ..storage import ROWS_A_FILE, fresh_path, in_arrow, materialise, remove
 
 
 #: Edges of which a task keeps a spanning forest before the rounds begin.
@@ -109,3 +109,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", a
     roots = stars.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     alone = loops.join(found.union(roots).select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.union(roots).union(alone)
+
+
+def updated(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(id, component) after more edges; known: (id, component) before, as connected_components() gives it.
+
+    The new edges are lifted to the components of their ends, so only what they touch is joined anew; all else keeps its component.
+    """
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    of = known.select("id", "component")
+    at_a = ends.join(of.toDF("a", "at_a"), "a", "left").select(F.coalesce("at_a", "a").alias("u"), "b")
+    lifted = at_a.join(of.toDF("b", "at_b"), "b", "left").select("u", F.coalesce("at_b", "b").alias("v"))
+    joined = materialise(connected_components(lifted, "u", "v").toDF("component", "now"), "components")
+    moved = of.join(joined, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    new = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(of, "id", "left_anti")
+    return moved.union(new.join(joined.toDF("id", "component"), "id").select("id", "component"))

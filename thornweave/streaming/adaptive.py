@@ -13,6 +13,7 @@ import numpy as np
 from ..graph import PropertyGraph
 from ..operators import metrics
 from ..plans.query import PatternQuery
+from ..storage import remove
 from .incremental import IncrementalMatcher, step_list
 
 SMALLER, LARGER, HOLD = 0, 1, 2
@@ -50,6 +51,20 @@ class MatchingEnvironment:
         """The same steps again, over the graph as it is now."""
         self.count = 0
 
+    def seed(self, seed: int | None = None) -> list[int | None]:
+        """Nothing here is drawn at random; the policies draw, and have seeds of their own."""
+        return [seed]
+
+    def render(self) -> str:
+        """The state as a line of text."""
+        done = self.matcher.metrics[-1] if self.matcher.metrics else None
+        said = f", {done.new} new patterns in {done.elapsed:.3f} s" if done else ""
+        return f"step {self.count} of {len(self.steps)}, threshold {self.threshold} of {self.most}, {self.share:.3f} of the communities affected{said}"
+
+    def close(self) -> None:
+        """Deletes the matcher's tables. Only reset() makes the environment usable again."""
+        remove(self.matcher.spark, self.matcher.state)
+
     def observation(self) -> np.ndarray:
         return np.array([metrics.density(self.matcher.graph).first()["density"] or 0.0, self.share])
 
