@@ -40,6 +40,24 @@ def test_steps_give_what_snapshots_give(spark, text):
     assert matcher.report().count() == 3 and matcher.metrics[0].throughput >= 0
 
 
+def test_merged_steps(spark, monkeypatch, tmp_path):
+    """Tables of every two steps are merged, and of every four; a resumed matcher reads the same."""
+    monkeypatch.setattr(incremental, "FAN", 2)
+    graph, query, state = made(spark, 6, 8, 60), parse(TRIANGLE), f"file://{tmp_path}/state"
+    steps = incremental.step_list(graph)
+    matcher = incremental.IncrementalMatcher(graph.up_to(-1), query, state=state)
+    for i, e in enumerate(graph.edges.orderBy("src", "dst").limit(5).collect()):
+        now = graph.edges.filter(f"src = {e.src} AND dst = {e.dst}")
+        matcher.step(now, i, graph.vertices)
+        again = incremental.IncrementalMatcher.resume(spark, query, state)
+        assert matcher.graph.edges.count() == i + 1 == again.graph.edges.count()
+        assert keys(matcher.matches) == keys(match.exact(matcher.graph, query, distinct=True)) == keys(again.matches)
+    assert len(steps) > 1 and [p.rsplit("/", 1)[1] for p in matcher._blocks("edges", 0, 5, 5)] == ["merged=1-4", "seq=5"]
+    assert matcher.step(graph.edges, 5, graph.vertices).edges == graph.edges.count() - 5
+    assert keys(matcher.matches) == keys(match.exact(graph, query, distinct=True)) and matcher.matches.count() == len(keys(matcher.matches))
+    assert matcher.new_of(5).count() == matcher.metrics[-1].new and sorted(r.id for r in matcher.graph.vertices.collect()) == sorted({x for r in graph.edges.collect() for x in (r.src, r.dst)})
+
+
 def test_new_matches_are_found_once(spark):
     graph, query = made(spark, 4), parse(TRIANGLE)
     new = incremental.new_matches(graph.up_to(2), graph.edges.filter("add = 3"), graph.up_to(3), query).collect()

@@ -22,7 +22,7 @@ from ..functions import condition as conditions
 from ..graph import PropertyGraph, missing_as_empty, property_of
 from ..plans.planner import order, symmetry_breaks
 from ..plans.query import PatternQuery
-from ..storage import materialise
+from ..storage import materialise, small
 from . import paths as best
 from . import results
 from . import walk as walks
@@ -71,13 +71,13 @@ def seeds_of(graph: PropertyGraph, query: PatternQuery, among: DataFrame | None
     return graph.filter_vertices(query.labels.get(query.vertices[0], ""), None, among)
 
 
-def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MAX_PATH_EDGES, seeds: DataFrame | None = None, edges_of: dict[str, DataFrame] | None = None, constraints=((), ()), first_edge: str | None = None, selectivity: dict[str, int] | None = None) -> DataFrame:
+def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MAX_PATH_EDGES, seeds: DataFrame | None = None, edges_of: dict[str, DataFrame] | None = None, constraints=((), ()), first_edge: str | None = None, selectivity: dict[str, int] | None = None, first_rows: int | None = None) -> DataFrame:
     """All exact bindings: columns v_, k_ and p_.
 
     seeds: ids (a column id) for the symbol that is bound first. edges_of: by a query edge's name, the adjacency (src, dst, key, label, add)
     to take it from instead of the whole graph's. constraints: symbols and edges of which the first has the smaller id or key.
     first_edge: an edge of the query to start from, by default the first symbol as written. selectivity: number of vertices by label,
-    to go to rare ones first. The graph's vertices hold every end of its edges.
+    to go to rare ones first. first_rows: a bound on the first edge's rows, where it is known: few ones are broadcast to the second's. The graph's vertices hold every end of its edges.
     """
     candidates, less, keys = _Candidates(graph, query), constraints[0], constraints[1]
     steps = order(query, selectivity=selectivity, first_edge=first_edge)
@@ -108,6 +108,8 @@ def bindings(graph: PropertyGraph, query: PatternQuery, max_path_edges: int = MA
             ways = adjacency(e, step.back).select(F.col("src").alias(f"v_{step.frm}"), F.col("dst").alias(f"v_{step.to}"), F.col("key").alias(f"k_{e.name}"))
             if step.frm == step.to:  # a loop
                 ways = adjacency(e, False).filter("src = dst").select(F.col("src").alias(f"v_{step.frm}"), F.col("key").alias(f"k_{e.name}"))
+            if rows is not None and first_rows is not None and step is steps[1]:
+                rows = small(rows, first_rows)
             rows = candidates.bound(ways, start, set()) if rows is None else rows.join(ways, [f"v_{s}" for s in dict.fromkeys([step.frm, step.to] if step.closes else [step.frm])])
             if not step.closes:
                 rows = rows.filter(fresh(step.to))

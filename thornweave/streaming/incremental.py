@@ -23,9 +23,10 @@ from ..plans.query import PatternQuery
 from ..storage import ROWS_A_FILE, fresh_path, materialise, small
 
 
-def new_matches(before: PropertyGraph, delta: DataFrame, after: PropertyGraph, query: PatternQuery, max_path_edges: int = match.MAX_PATH_EDGES, distinct: bool = False) -> DataFrame:
+def new_matches(before: PropertyGraph, delta: DataFrame, after: PropertyGraph, query: PatternQuery, max_path_edges: int = match.MAX_PATH_EDGES, distinct: bool = False, edges: int | None = None) -> DataFrame:
     """Matches in `after` that aren't in `before`, as bindings, or one for each subgraph; delta: the edges that `after` has more.
 
+    edges: how many these are, where that is known; few ones are broadcast to the graph's edges, which then needn't be shuffled for them.
     Each is found once. A query with paths is matched anew, and what was there is taken off: a path may use an old and a new edge together.
     """
     if query.has_path:
@@ -35,10 +36,10 @@ def new_matches(before: PropertyGraph, delta: DataFrame, after: PropertyGraph, q
         return results.distinct(found) if distinct else found
     own = replace(after, edges=delta.select(*after.edges.columns))
     less, same, complete = symmetry_breaks(query) if distinct and not query.condition.strip() else ([], [], False)
-    found = None
+    found, (old, batch, now) = None, (g.adjacency() for g in (before, own, after))
     for j, e in enumerate(query.edges):  # the batch's edge comes first, so that hubs of the graph are only gone through from it
-        ways = {f.name: (before if i < j else own if i == j else after).adjacency() for i, f in enumerate(query.edges)}
-        rows = match.bindings(after, query, max_path_edges, None, ways, (less, same), first_edge=e.name)
+        ways = {f.name: old if i < j else batch if i == j else now for i, f in enumerate(query.edges)}
+        rows = match.bindings(after, query, max_path_edges, None, ways, (less, same), first_edge=e.name, first_rows=None if edges is None else 2 * edges)
         found = rows if found is None else found.unionByName(rows)
     found = match.as_matches(found, after, query)
     return results.distinct(found) if distinct and not complete else found
@@ -58,6 +59,11 @@ class StepMetrics:
         return self.new / self.elapsed if self.elapsed > 0 else 0.0
 
 
+#: Tables of so many steps are merged into one, and so many of those again.
+FAN = 8
+#: Rows of a file of a merged table.
+ROWS_MERGED = 1_000_000
+
 _MARK = "seq long, step long, edges long, new long, total long, recomputed long, elapsed double, directed boolean, multi boolean"
 
 
@@ -67,7 +73,9 @@ class IncrementalMatcher:
     mode: exact, or guided with communities of fewer than `community_size` vertices. Matches are kept one for each subgraph, or,
     without `distinct`, as all bindings, which groups and aggregates need. A step only adds to the tables of edges, vertices
     and matches what is new, so its cost follows the batch and what it completes, not what there is already. A step that is
-    given again (a batch that is retried) finds nothing new.
+    given again (a batch that is retried) finds nothing new. After FAN steps their tables are merged into one, after FAN of those
+    these again: what is read at a step are some FAN tables for each power of FAN, and a row is written once for each power.
+    The merged ones stay, since matches of a single step may still be asked for, and tables read before go on to be valid.
 
     state: a folder of its own, by default a fresh one. A step counts once its mark is written, last of all; resume()
     goes on from the last mark, and what a step that broke off has left is written anew.
@@ -96,7 +104,7 @@ class IncrementalMatcher:
         self.spark, self.state = spark, state or fresh_path(spark, "incremental")
         self.query, self.mode, self.community_size, self.approximate, self.max_path_edges, self.distinct = query, mode, community_size, approximate, max_path_edges, distinct
         self.metrics: list[StepMetrics] = []
-        self.affected = None
+        self.affected, self.merged = None, 0
 
     @classmethod
     def resume(cls, spark: SparkSession, query: PatternQuery, state: str, mode: str = "exact", community_size: int = 10, approximate: bool = False, max_path_edges: int = match.MAX_PATH_EDGES, distinct: bool = True) -> IncrementalMatcher:
@@ -105,6 +113,7 @@ class IncrementalMatcher:
         own._set(spark, query, mode, community_size, approximate, max_path_edges, distinct, state)
         marks = spark.read.schema(_MARK).parquet(f"{state}/marks/*").orderBy("seq").collect()  # one row a step
         own.directed, own.multi, own.seq = marks[0].directed, marks[0].multi, marks[-1].seq
+        own.merged = own.seq
         own.metrics = [StepMetrics(m.step, m.edges, m.new, m.total, m.recomputed, m.elapsed) for m in marks[1:]]
         own.total = marks[-1].total
         own.schemas = {n: spark.read.parquet(own._path(n, 0)).schema for n in ("vertices", "edges", "matches")}
@@ -120,11 +129,37 @@ class IncrementalMatcher:
 
     def _mark(self, m: StepMetrics) -> None:
         row = (self.seq, m.step, m.edges, m.new, m.total, m.recomputed, float(m.elapsed), self.directed, self.multi)
-        self.spark.createDataFrame([row], _MARK).coalesce(1).write.mode("overwrite").parquet(self._path("marks", self.seq))
-        self.total = m.total
+        named = [F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, (c.split() for c in _MARK.split(", ")), strict=True)]
+        self.spark.range(0, 1, 1, 1).select(*named).write.mode("overwrite").parquet(self._path("marks", self.seq))
+        self.total, self.merged = m.total, self.seq
+
+    def _block(self, name: str, end: int, size: int) -> str:
+        """Where the tables of so many steps are, the last of them `end`."""
+        return self._path(name, end) if size == 1 else f"{self.state}/{name}/merged={end - size + 1}-{end}"
+
+    def _blocks(self, name: str, start: int, end: int, most: int) -> list[str]:
+        """Paths of the steps after start up to end, in blocks that are merged already, of at most so many steps."""
+        found = []
+        while start < end:
+            size = 1
+            while size * FAN <= most and start % (size * FAN) == 0 and start + size * FAN <= min(end, self.merged):
+                size *= FAN
+            start += size
+            found.append(self._block(name, start, size))
+        return found
+
+    def _merge(self) -> None:
+        """Merges the tables of the last steps, where a block of them is full. A step's mark follows, so what is marked is merged."""
+        size = FAN
+        while self.seq % size == 0:
+            for name in ("vertices", "edges", "matches"):
+                parts = self.spark.read.schema(self.schemas[name]).parquet(*self._blocks(name, self.seq - size, self.seq, size // FAN))
+                parts.coalesce(-(-parts.count() // ROWS_MERGED) or 1).write.mode("overwrite").parquet(self._block(name, self.seq, size))
+            size *= FAN
 
     def _read(self, name: str, last: int | None = None) -> DataFrame:
-        return self.spark.read.schema(self.schemas[name]).parquet(*[self._path(name, i) for i in range((self.seq if last is None else last) + 1)])
+        last = self.seq if last is None else last
+        return self.spark.read.schema(self.schemas[name]).parquet(self._path(name, 0), *self._blocks(name, 0, last, max(last, 1)))
 
     def _graph(self, last: int | None = None) -> PropertyGraph:
         return PropertyGraph(self._read("vertices", last), self._read("edges", last), self.directed, self.multi)
@@ -159,17 +194,17 @@ class IncrementalMatcher:
         own = materialise(own.select(*before.edges.columns), "batch")
         n = own.count()
         there = before.pairs().join(small(own.select(*keys), n), keys, "left_semi").select(*keys)
-        return own.join(there, keys, "left_anti").select(*before.edges.columns), n
+        return own.join(small(there, n), keys, "left_anti").select(*before.edges.columns), n
 
     def _ends(self, before: PropertyGraph, ends: DataFrame, rows: int, vertices: DataFrame | None) -> DataFrame:
         """Vertices that come with a batch: rows of `vertices` where they are known there, empty ones else."""
         there = before.vertices.join(small(ends, rows), "id", "left_semi").select("id")
-        new = ends.join(there, "id", "left_anti")
+        new = ends.join(small(there, rows), "id", "left_anti")
         empty = new.select("id", F.lit("").alias("label"), F.create_map().cast("map<string,string>").alias("props"))
         if vertices is None:
             return empty
-        known = vertices.join(new, "id", "left_semi").select("id", "label", "props")
-        return known.unionByName(empty.join(vertices.select("id"), "id", "left_anti"))
+        known = vertices.join(small(new, rows), "id", "left_semi").select("id", "label", "props")
+        return known.unionByName(empty.join(small(known.select("id"), rows), "id", "left_anti"))
 
     def step(self, delta: DataFrame, number: int = 0, vertices: DataFrame | None = None) -> StepMetrics:
         """Takes a batch of edges in and returns what came of it."""
@@ -185,7 +220,7 @@ class IncrementalMatcher:
             self._keep("vertices", self._ends(before, ends, 2 * most, vertices).select(*before.vertices.columns), 2 * most)
             after, recomputed = self._graph(), 0
             if self.mode == "exact":
-                new = new_matches(before, fresh_edges, after, self.query, self.max_path_edges, self.distinct)
+                new = new_matches(before, fresh_edges, after, self.query, self.max_path_edges, self.distinct, most)
             else:
                 parts = materialise(community.recursive_communities(before, self.community_size), "communities")
                 self.affected = community.affected_counts(parts, ends)
@@ -198,6 +233,7 @@ class IncrementalMatcher:
                 new = (results.distinct(found) if self.distinct else found.dropDuplicates(keys)).join(old.select(*keys), keys, "left_anti")
             self._keep("matches", new.select(*old.columns))
             n_edges, n_new = fresh_edges.count(), self.spark.read.schema(old.schema).parquet(self._path("matches", self.seq)).count()
+            self._merge()
             metrics = StepMetrics(number, n_edges, n_new, self.total + n_new, recomputed, time.time() - began)
             self._mark(metrics)
         except BaseException:
